@@ -13,6 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.labels import THIN_WORDS
 
 
+def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Append the columns of a one-row aggregate (a global min/max/count) to every row.
+
+    The right side is a global aggregate — exactly one row by construction —
+    so it is broadcast; the join has no key because there is nothing to match.
+    """
+    return df.join(F.broadcast(one_row), how="inner")
+
+
 def count_by(df: DataFrame, col: str, name: str = "n") -> DataFrame:
     """Rows per value, most frequent first (ties by value)."""
     return (df.groupBy(col).agg(F.count(F.lit(1)).alias(name))
@@ -68,11 +77,11 @@ def histogram(df: DataFrame, col: str, bins: int, feature: str | None = None) ->
     vals = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     bounds = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     spark = df.sparkSession
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(bounds)
+    grid = attach_scalars(spark.range(bins).select(F.col("id").cast("int").alias("bin")), bounds)
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / width).cast("int")))
-    counts = (vals.crossJoin(F.broadcast(bounds)).select(idx.alias("bin"))
+    counts = (attach_scalars(vals, bounds).select(idx.alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
     out = (grid.join(counts, "bin", "left")
            .select(
@@ -100,12 +109,11 @@ def box_plot_stats(df: DataFrame, cols: list[str]) -> DataFrame:
                      (F.col("q3") + 1.5 * iqr).alias("hi_fence"))
         v = F.col("x")
         inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
-        stats = (df.select(x.alias("x")).filter(v.isNotNull())
-                 .crossJoin(F.broadcast(q))
+        stats = (attach_scalars(df.select(x.alias("x")).filter(v.isNotNull()), q)
                  .agg(F.min(F.when(inside, v)).alias("whisker_lo"),
                       F.max(F.when(inside, v)).alias("whisker_hi"),
                       F.count(F.when(~inside, 1)).cast("long").alias("n_outliers")))
-        outs.append(q.crossJoin(stats).select(F.lit(c).alias("feature"), "*"))
+        outs.append(attach_scalars(q, stats).select(F.lit(c).alias("feature"), "*"))
     res = outs[0]
     for o in outs[1:]:
         res = res.unionByName(o)
