@@ -1 +1,153 @@
-"""NLP family queries."""
+"""Registered NLP queries: sentiment (T7-T9, P7), entities (T10-T12), topics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.resources import (BOOSTER_INCREMENT, BOOSTERS, ENGLISH_STOPWORDS, NEGATION_SCALAR,
+                                   NEGATIONS, SEED_GAZETTEER, SEED_LEXICON, SENTIMENT_ALPHA)
+from ..operators import entities as ENT
+from ..operators import sentiment as SEN
+from ..operators import stats as S
+from ..operators import topics as TOP
+from . import oracle_sql as O
+from .queries import _hist_sql
+from .registry import register, table
+
+
+def _values(rows, cols):
+    body = ", ".join("(" + ", ".join(O.q(v) if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) v({', '.join(cols)}))"
+
+
+_RES = f"""
+res AS (SELECT term, max(valence) AS valence, bool_or(is_neg) AS is_neg, sum(dir) AS dir FROM (
+          SELECT term, valence::DOUBLE AS valence, false AS is_neg, 0 AS dir FROM {_values(SEED_LEXICON, ['term', 'valence'])}
+          UNION ALL SELECT term, NULL::DOUBLE, true, 0 FROM {_values([(w,) for w in NEGATIONS], ['term'])}
+          UNION ALL SELECT term, NULL::DOUBLE, false, dir FROM {_values(BOOSTERS, ['term', 'dir'])}) GROUP BY term)"""
+
+_SENT = f"""{_RES},
+base AS (SELECT doc_id, length(coalesce(text, '')) AS len,
+                regexp_extract_all(lower(coalesce(text, '')), {O.q(SEN.SENT_TOKEN)}) AS tok FROM documents),
+b2 AS (SELECT doc_id, len, tok, CASE WHEN len > {SEN.MIN_CHARS} THEN len(tok) ELSE 0 END AS ntok FROM base),
+toks AS (SELECT doc_id, unnest(tok) AS term, generate_subscripts(tok, 1) AS pos FROM b2 WHERE len > {SEN.MIN_CHARS}),
+hits AS (SELECT doc_id, pos, valence, is_neg, dir FROM toks JOIN res USING (term)),
+sc AS (SELECT h.doc_id, h.pos, any_value(h.valence) AS valence,
+              count(*) FILTER (WHERE c.is_neg) AS k,
+              coalesce(sum(c.dir * {BOOSTER_INCREMENT} * CASE h.pos - c.pos WHEN 1 THEN {SEN.DECAY[1]}
+                            WHEN 2 THEN {SEN.DECAY[2]} ELSE {SEN.DECAY[3]} END), 0.0) AS b
+       FROM hits h LEFT JOIN hits c ON c.doc_id = h.doc_id AND c.pos BETWEEN h.pos - 3 AND h.pos - 1
+       WHERE h.valence IS NOT NULL GROUP BY h.doc_id, h.pos),
+s AS (SELECT doc_id, (valence + sign(valence) * b) * pow({NEGATION_SCALAR}, k) AS s FROM sc),
+pd AS (SELECT doc_id, sum(s) AS sum_s, sum(CASE WHEN s > 0 THEN s + 1 END) AS pos_sum,
+              sum(CASE WHEN s < 0 THEN s - 1 END) AS neg_sum, count(*) FILTER (WHERE s <> 0) AS n_scored
+       FROM s GROUP BY 1),
+j AS (SELECT b2.doc_id, coalesce(sum_s, 0.0) AS sum_s, coalesce(pos_sum, 0.0) AS pos_sum,
+             coalesce(neg_sum, 0.0) AS neg_sum, (ntok - coalesce(n_scored, 0))::DOUBLE AS neu
+      FROM b2 LEFT JOIN pd USING (doc_id)),
+sent AS (SELECT doc_id,
+    CASE WHEN pos_sum + abs(neg_sum) + neu > 0 THEN round(abs(neg_sum / (pos_sum + abs(neg_sum) + neu)), 3) ELSE 0.0 END AS neg,
+    CASE WHEN pos_sum + abs(neg_sum) + neu > 0 THEN round(abs(neu / (pos_sum + abs(neg_sum) + neu)), 3) ELSE 0.0 END AS neu,
+    CASE WHEN pos_sum + abs(neg_sum) + neu > 0 THEN round(abs(pos_sum / (pos_sum + abs(neg_sum) + neu)), 3) ELSE 0.0 END AS pos,
+    round(least(1.0, greatest(-1.0, sum_s / sqrt(sum_s * sum_s + {SENTIMENT_ALPHA}))), 4) AS compound
+  FROM j),
+lab AS (SELECT *, CASE WHEN compound > 0.05 THEN 'Positive' WHEN compound < -0.05 THEN 'Negative'
+                       ELSE 'Neutral' END AS sentiment FROM sent)"""
+
+
+def _scores(spark, sf):
+    return SEN.sentiment_scores(table(spark, sf, "documents"))
+
+
+@register("t7_sentiment", f"""
+WITH {_SENT}
+SELECT doc_id, neg, neu, pos, compound, sentiment FROM lab""")
+def t7_sentiment(spark, sf):
+    return _scores(spark, sf)
+
+
+@register("t8_sentiment_distribution", f"""
+WITH {_SENT}
+SELECT sentiment, count(*)::BIGINT AS n FROM lab GROUP BY 1""")
+def t8_sentiment_distribution(spark, sf):
+    return SEN.sentiment_distribution(_scores(spark, sf))
+
+
+@register("t9_sentiment_means", f"""
+WITH {_SENT}
+SELECT round(avg(pos), 6) AS pos, round(avg(neu), 6) AS neu, round(avg(neg), 6) AS neg FROM lab""")
+def t9_sentiment_means(spark, sf):
+    m = SEN.sentiment_means(_scores(spark, sf))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("pos", "neu", "neg")])
+
+
+@register("a4_compound_histogram", f"WITH {_SENT}\n" + _hist_sql("compound", 30, src="lab"))
+def a4_compound_histogram(spark, sf):
+    return S.histogram(_scores(spark, sf), "compound", 30)
+
+
+# --------------------------------------------------------------- entities
+_GAZ = _values(SEED_GAZETTEER, ["phrase", "type"])
+_STOP = O.STOP_LIST
+
+
+def _lead_trim(r: str) -> str:
+    pos = f"coalesce(list_position(list_transform(string_split({r}, ' '), lambda w: list_contains({_STOP}, lower(w))), false), 0)"
+    return f"CASE WHEN {pos} > 0 THEN array_to_string(string_split({r}, ' ')[{pos}:], ' ') END"
+
+
+_ENTS = f"""
+c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {O.q(ENT.CAPITALISED_RUN)}) AS runs FROM documents
+      WHERE length(coalesce(text, '')) >= {ENT.MIN_CHARS}),
+e AS (SELECT doc_id, list_filter(list_transform(runs, lambda r: {_lead_trim('r')}), lambda x: x IS NOT NULL) AS ents FROM c),
+x AS (SELECT doc_id, unnest(ents) AS entity, generate_subscripts(ents, 1) - 1 AS idx FROM e),
+g AS (SELECT phrase, min(type) AS type FROM {_GAZ} GROUP BY 1),
+ent AS (SELECT doc_id, idx::INTEGER AS idx, entity, coalesce(g.type, 'UNKNOWN') AS type
+        FROM x LEFT JOIN g ON g.phrase = x.entity)"""
+
+
+def _entities(spark, sf):
+    return ENT.extract_entities(table(spark, sf, "documents"))
+
+
+@register("t10_entities", f"""
+WITH {_ENTS}
+SELECT doc_id, idx, entity, type FROM ent""")
+def t10_entities(spark, sf):
+    return _entities(spark, sf)
+
+
+@register("t11_top_entity_types", f"""
+WITH {_ENTS}
+SELECT type, count(*)::BIGINT AS n FROM ent GROUP BY 1 ORDER BY n DESC, type LIMIT 10""")
+def t11_top_entity_types(spark, sf):
+    return ENT.top_entity_types(_entities(spark, sf), 10)
+
+
+@register("t12_top_entities", f"""
+WITH {_ENTS}
+SELECT entity, count(*)::BIGINT AS n FROM ent GROUP BY 1 ORDER BY n DESC, entity LIMIT 15""")
+def t12_top_entities(spark, sf):
+    return ENT.top_entities(_entities(spark, sf), 15)
+
+
+# ----------------------------------------------------------------- topics
+def _lda(spark, sf):
+    docs = table(spark, sf, "documents")
+    vecs, terms = TOP.doc_term_vectors(docs)
+    return TOP.fit_topics(vecs), vecs, terms
+
+
+@register("t5_topic_model")
+def t5_topic_model(spark, sf):
+    model, vecs, _ = _lda(spark, sf)
+    return TOP.document_topics(model, vecs)
+
+
+@register("t6_topic_terms")
+def t6_topic_terms(spark, sf):
+    model, _, terms = _lda(spark, sf)
+    return TOP.topic_terms(model, terms, 10)
+
+
+from . import queries_jobs  # noqa: E402,F401
