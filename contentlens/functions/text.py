@@ -94,8 +94,10 @@ def remove_stopwords(c, stopwords=None) -> Column:
     The membership test is an ``IN`` over literals, which Catalyst turns into a
     hash-set lookup (``InSet``).
     """
-    words = list(stopwords or ENGLISH_STOPWORDS)
+    words = list(ENGLISH_STOPWORDS if stopwords is None else stopwords)
     toks = F.split(_col(c), " ")
+    if not words:
+        return F.array_join(F.filter(toks, lambda w: w != ""), " ")
     return F.array_join(F.filter(toks, lambda w: (w != "") & ~w.isin(words)), " ")
 
 
@@ -105,7 +107,9 @@ def tokenize_terms(c) -> Column:
 
 
 def drop_stop_terms(tokens, stopwords=None) -> Column:
-    words = list(stopwords or ENGLISH_STOPWORDS)
+    words = list(ENGLISH_STOPWORDS if stopwords is None else stopwords)
+    if not words:
+        return _col(tokens)
     return F.filter(_col(tokens), lambda t: ~t.isin(words))
 
 

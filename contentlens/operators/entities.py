@@ -2,7 +2,8 @@
 
 Candidates are runs of capitalised words (``regexp_extract_all``); leading
 stopwords ("The", "In") are dropped from a run.  The type comes from a
-gazetteer (broadcast join; seed table or a user table), else ``UNKNOWN``.
+gazetteer (broadcast join; seed table or a user table) matched on the run,
+or on the run without its first word, else ``UNKNOWN``.
 Everything stays in the JVM; the gazetteer is the only resource.
 """
 
@@ -44,8 +45,18 @@ def extract_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     t = X.text_or_empty(text_col)
     ents = docs.filter(F.length(t) >= MIN_CHARS).select(
         F.col(id_col), F.posexplode(entity_candidates(text_col)).alias("idx", "entity"))
-    typed = ents.join(gaz, ents["entity"] == gaz["phrase"], "left")
-    return typed.select(id_col, "idx", "entity", F.coalesce("type", F.lit(UNKNOWN)).alias("type"))
+    # A run that starts a sentence carries that capitalised first word
+    # ("Yesterday John Smith"): when only the run minus its first word is
+    # a known phrase, that suffix is the entity.
+    words = F.split("entity", " ")
+    ents = ents.withColumn("tail", F.when(F.size(words) >= 2,
+                                          F.array_join(F.slice(words, 2, F.size(words)), " ")))
+    g1 = gaz.select(F.col("phrase").alias("entity"), F.col("type").alias("t1"))
+    g2 = gaz.select(F.col("phrase").alias("tail"), F.col("type").alias("t2"))
+    typed = ents.join(g1, "entity", "left").join(g2, "tail", "left")
+    use_tail = F.col("t1").isNull() & F.col("t2").isNotNull()
+    return typed.select(id_col, "idx", F.when(use_tail, F.col("tail")).otherwise(F.col("entity")).alias("entity"),
+                        F.coalesce("t1", "t2", F.lit(UNKNOWN)).alias("type"))
 
 
 def top_entity_types(entities: DataFrame, n: int = 10) -> DataFrame:

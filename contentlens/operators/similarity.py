@@ -97,6 +97,9 @@ def block_pairs(v: DataFrame, threshold: float | None, block_size: int = 2048,
     instead (used by J7), so nothing pair-sized is produced at all.
     """
     sparse = _is_sparse(v)
+    # The count decides the number of blocks; persisting first means the
+    # vectors are computed once for both the count and the pair pass.
+    v = v.persist(StorageLevel.MEMORY_AND_DISK)
     n, d = _count_and_dim(v, sparse, dim)
     nb = max(1, math.ceil(n / block_size))
     routed = _route_self(v, nb)
@@ -223,6 +226,8 @@ def similar_pages(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold:
     per-query window sees at most ``k * blocks`` rows.
     """
     sparse = _is_sparse(queries)
+    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
+    corpus = corpus.persist(StorageLevel.MEMORY_AND_DISK)
     nq, dq = _count_and_dim(queries, sparse, None)
     nc, dc = _count_and_dim(corpus, sparse, None)
     d = max(dq, dc)

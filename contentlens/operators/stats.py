@@ -66,23 +66,27 @@ def mean_median(df: DataFrame, cols: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def histogram(df: DataFrame, col: str, bins: int, feature: str | None = None) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int, feature: str | None = None,
+              weight_col: str | None = None) -> DataFrame:
     """A4: equal-width bins over [min, max]; the last bin is closed; empty bins kept.
 
     Two aggregations: a one-row min/max pass, then the per-bin counts.  The
     bin grid (``bins`` rows) comes from ``range`` and is left-joined so empty
-    bins show as 0.  Nothing is collected.
+    bins show as 0.  Nothing is collected.  ``weight_col`` counts each row
+    that many times (a compact pair table stands for its expanded pairs).
     """
     x = F.col(col).cast("double")
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    wt = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
+    vals = df.select(x.alias("x"), wt.alias("_w")).filter(
+        F.col("x").isNotNull() & ~F.isnan("x") & (F.col("_w") > 0))
     bounds = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     spark = df.sparkSession
     grid = attach_scalars(spark.range(bins).select(F.col("id").cast("int").alias("bin")), bounds)
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / width).cast("int")))
-    counts = (attach_scalars(vals, bounds).select(idx.alias("bin"))
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
+    counts = (attach_scalars(vals, bounds).select(idx.alias("bin"), "_w")
+              .groupBy("bin").agg(F.sum("_w").alias("n")))
     out = (grid.join(counts, "bin", "left")
            .select(
                F.lit(feature or col).alias("feature"),

@@ -57,33 +57,37 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, bounded_vocab: bool = True) -
     return w.select("doc", "term", (F.col("w") / norm).alias("weight"))
 
 
-def _keyword_docs(docs: DataFrame, id_col: str, text_col: str):
-    kept = X.remove_stopwords(X.preprocess_text(text_col))
+def _keyword_docs(docs: DataFrame, id_col: str, text_col: str, stopwords=None):
+    kept = X.remove_stopwords(X.preprocess_text(text_col), stopwords)
     base = docs.select(F.col(id_col), kept.alias("_kept"))
     valid = base.filter(F.col("_kept") != "")
-    terms = X.drop_stop_terms(F.regexp_extract_all(F.col("_kept"), F.lit(X.TERM), 0))
+    terms = X.drop_stop_terms(F.regexp_extract_all(F.col("_kept"), F.lit(X.TERM), 0), stopwords)
     n = valid.agg(F.count(F.lit(1)).alias("n"))
     return valid, terms, n
 
 
 def keyword_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   max_features: int = 100) -> DataFrame:
-    """T2 as used by T1: (doc, term, weight) over the ``max_features`` vocabulary."""
-    valid, terms, n = _keyword_docs(docs, id_col, text_col)
+                   max_features: int = 100, stopwords=None) -> DataFrame:
+    """T2 as used by T1: (doc, term, weight) over the ``max_features`` vocabulary.
+
+    ``stopwords``: None = the English list; ``[]`` = keep every word.
+    """
+    valid, terms, n = _keyword_docs(docs, id_col, text_col, stopwords)
     tf = term_frequencies(valid, id_col, terms)
     vocab = vocabulary(tf, n, max_features)
     return tfidf_weights(tf, vocab)
 
 
 def top_keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 top_n: int = 5, max_features: int = 100, as_string: bool = True) -> DataFrame:
+                 top_n: int = 5, max_features: int = 100, as_string: bool = True,
+                 stopwords=None) -> DataFrame:
     """Per document, its ``top_n`` terms by TF-IDF weight (score > 0).
 
     Every input row is returned; documents with no vocabulary term get ''
     (or an empty array with ``as_string=False``).  Weights are rounded to 6
     places before ranking so float noise cannot reorder ties (ties by term).
     """
-    m = keyword_matrix(docs, id_col, text_col, max_features)
+    m = keyword_matrix(docs, id_col, text_col, max_features, stopwords)
     rw = F.round("weight", 6)
     w = Window.partitionBy("doc").orderBy(rw.desc(), F.col("term").asc())
     ranked = (m.filter(F.col("weight") > 0).withColumn("rk", F.row_number().over(w))

@@ -1 +1,62 @@
-"""End-to-end job queries."""
+"""Registered end-to-end jobs (E1-E3) and the duplicate-similarity histogram (A4)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import embed as EM
+from ..operators import model as M
+from ..operators import similarity as SIM
+from ..operators import stats as S
+from ..session import checkpoint_dir
+from .pipeline import analyze_pages, run_pipeline
+from .queries import _hist_sql, labelled_docs
+from .queries_vectors import _DOC_PAIRS, _FLAT, DUP_T
+from .registry import register, table
+
+SMOKE_TREES = 50
+
+
+@register("e1_run_pipeline")
+def e1_run_pipeline(spark, sf):
+    out = run_pipeline(table(spark, sf, "pages"), num_trees=SMOKE_TREES)
+    return out["scored"].select("page_id", "url", "word_count", "sentence_count", "flesch_reading_ease",
+                                F.array_join("top_keywords", ", ").alias("top_keywords"),
+                                "quality_label", "predicted_quality", "split")
+
+
+def _doc_model(spark, sf):
+    s = M.stratified_split(labelled_docs(spark, sf), "quality_label", "doc_id", 0.3, 42)
+    return M.train_quality_model(s.filter(F.col("split") == "train"), num_trees=SMOKE_TREES)
+
+
+@register("e2_analyze_pages")
+def e2_analyze_pages(spark, sf):
+    return analyze_pages(table(spark, sf, "pages"), table(spark, sf, "documents"),
+                         model=_doc_model(spark, sf))
+
+
+@register("e3_analyze_stream")
+def e3_analyze_stream(spark, sf):
+    from ..streaming.analyze import analyze_stream
+    base = f"{checkpoint_dir(spark).rstrip('/')}/e3-{uuid.uuid4().hex}"
+    q = analyze_stream(spark, f"{sf.rstrip('/')}/pages*.parquet", table(spark, sf, "documents"),
+                       f"{base}/out", checkpoint=f"{base}/ck")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("a4_pair_similarity_histogram", f"""
+WITH {_DOC_PAIRS}, {_FLAT.replace("flat AS (", "flat0 AS (").replace(
+    "SELECT a.id AS i, b.id AS j FROM mem a", "SELECT 1.0::DOUBLE AS sim FROM mem a").replace(
+    "SELECT m1.id AS i, m2.id AS j FROM rp", "SELECT rp.sim FROM rp")}
+""" + _hist_sql("sim", 20, src="flat0", feature="similarity"))
+def a4_pair_similarity_histogram(spark, sf):
+    v = SIM.as_vectors(EM.hashed_tfidf(table(spark, sf, "documents")), "doc_id", sparse=("indices", "values"))
+    pairs, groups = SIM.duplicate_pairs(v, DUP_T)
+    w = pairs.select("similarity", (F.col("copies_1") * F.col("copies_2")).alias("w")).unionByName(
+        groups.select(F.lit(1.0).alias("similarity"),
+                      (F.col("copies") * (F.col("copies") - 1) / 2).cast("long").alias("w")))
+    return S.histogram(w, "similarity", 20, weight_col="w")

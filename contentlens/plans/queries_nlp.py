@@ -102,8 +102,12 @@ c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {O.q(ENT.CAPITALISED
 e AS (SELECT doc_id, list_filter(list_transform(runs, lambda r: {_lead_trim('r')}), lambda x: x IS NOT NULL) AS ents FROM c),
 x AS (SELECT doc_id, unnest(ents) AS entity, generate_subscripts(ents, 1) - 1 AS idx FROM e),
 g AS (SELECT phrase, min(type) AS type FROM {_GAZ} GROUP BY 1),
-ent AS (SELECT doc_id, idx::INTEGER AS idx, entity, coalesce(g.type, 'UNKNOWN') AS type
-        FROM x LEFT JOIN g ON g.phrase = x.entity)"""
+x2 AS (SELECT *, CASE WHEN len(string_split(entity, ' ')) >= 2
+                      THEN array_to_string(string_split(entity, ' ')[2:], ' ') END AS tail FROM x),
+ent AS (SELECT doc_id, idx::INTEGER AS idx,
+               CASE WHEN g1.type IS NULL AND g2.type IS NOT NULL THEN tail ELSE entity END AS entity,
+               coalesce(g1.type, g2.type, 'UNKNOWN') AS type
+        FROM x2 LEFT JOIN g g1 ON g1.phrase = x2.entity LEFT JOIN g g2 ON g2.phrase = x2.tail)"""
 
 
 def _entities(spark, sf):

@@ -10,6 +10,21 @@ from ..functions import vectors as V
 from ..schemas import FEATURES_CSV, RAW_PAGES, require_columns
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy text work enough tasks.
+
+    A file with one row group is one scan task, so every regex before the
+    first shuffle would run on one core.  When the scan has fewer partitions
+    than the cluster's default parallelism, rows are dealt round-robin to
+    that many partitions; a scan that is already wide (the normal case on a
+    cluster reading many files) is returned untouched — no extra shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def _csv(spark: SparkSession, path: str, schema) -> DataFrame:
     # Multi-line quoted cells (HTML, text) need multiLine; quotes are doubled.
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
