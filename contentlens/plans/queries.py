@@ -44,6 +44,14 @@ def s2_read_content(spark, sf):
     return c.select("doc_id", "url", F.length("body_text").cast("long").alias("body_chars"))
 
 
+@register("s3_read_features", """
+SELECT vec_id, len(embedding)::BIGINT AS dims, label FROM embeddings WHERE embedding IS NOT NULL""")
+def s3_read_features(spark, sf):
+    from ..sources.readers import read_features
+    f = read_features(spark, f"{sf}/embeddings.parquet").filter(F.col("embedding").isNotNull())
+    return f.select("vec_id", F.size("embedding").cast("long").alias("dims"), "label")
+
+
 # ------------------------------------------------------------ text scalars
 @register("x4_clean_whitespace", f"""
 SELECT doc_id, {O.clean_ws("coalesce(text, '')")} AS cleaned FROM documents""")

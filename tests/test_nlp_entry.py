@@ -86,3 +86,22 @@ def test_stream_job(spark):
     pages = spark.read.parquet(f"{SMOKE}/pages.parquet").count()
     assert 0 < out.count() <= pages
     assert "similar_to" in out.columns and os.path.isdir(f"{d}/ck")
+
+
+def test_model_save_load(spark):
+    from pyspark.sql import functions as F
+
+    from contentlens.operators import model as M
+    from contentlens.sources.readers import load_model, save_model
+    d = tempfile.mkdtemp(prefix="cl-model-")
+    assert load_model(f"{d}/missing") is None
+    rows = [(i, 100 + i * 20, 5 + i % 3, 40.0 + i % 30, ["Low", "Medium", "High"][i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, word_count long, sentence_count long, "
+                                     "flesch_reading_ease double, quality_label string")
+    model = M.train_quality_model(df, num_trees=5, max_depth=3)
+    save_model(model, f"{d}/m")
+    again = load_model(f"{d}/m")
+    a = M.predict_quality(model, df).orderBy("id").select("predicted_quality").collect()
+    b = M.predict_quality(again, df).orderBy("id").select("predicted_quality").collect()
+    assert a == b
+    del F
