@@ -116,7 +116,7 @@ def drop_stop_terms(tokens, stopwords=None) -> Column:
 def keyword_terms(c, stopwords=None) -> Column:
     """Terms of the keyword extractor: X6, X7, then X17 and the list again."""
     kept = remove_stopwords(preprocess_text(c), stopwords)
-    return drop_stop_terms(tokenize_terms(kept), stopwords)
+    return drop_stop_terms(F.regexp_extract_all(kept, F.lit(TERM), 0), stopwords)
 
 
 def ngrams_1_2(tokens) -> Column:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,23 +44,19 @@ def _tf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return toks.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_idf(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def fit_idf(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            tf: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Corpus statistics: (term, df) for every term, and a one-row (n) frame."""
+    tf = tf if tf is not None else _tf(corpus, id_col, text_col)
     # count("tf") (not count(1)) keeps the tf column in the plan, so this
-    # branch and ``encode`` share one term-frequency shuffle (exchange reuse).
-    df = _tf(corpus, id_col, text_col).groupBy("term").agg(F.count("tf").alias("df"))
+    # branch and the encoder share one term-frequency shuffle (exchange reuse).
+    df = tf.groupBy("term").agg(F.count("tf").alias("df"))
     n = corpus.agg(F.count(F.lit(1)).alias("n"))
     return df, n
 
 
-def encode(docs: DataFrame, term_df: DataFrame, n: DataFrame, id_col: str = "doc_id",
-           text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
-    """(id, indices, values) for every input row; empty texts get empty arrays.
-
-    ``term_df``/``n`` come from ``fit_idf`` on the corpus (the docs themselves
-    or another table); terms the corpus never saw get df = 0.
-    """
-    tf = _tf(docs, id_col, text_col)
+def _encode_tf(ids: DataFrame, tf: DataFrame, term_df: DataFrame, n: DataFrame, id_col: str,
+               dim: int) -> DataFrame:
     # Sort-merge join on term; AQE splits a hot term's partition (skew join)
     # and switches to broadcast at run time when the statistics are small.
     j = attach_scalars(tf.join(term_df, "term", "left"), n)
@@ -72,18 +69,41 @@ def encode(docs: DataFrame, term_df: DataFrame, n: DataFrame, id_col: str = "doc
         F.sum((F.col("w") * F.col("w")).cast("decimal(38,18)")).cast("double").alias("ss"))
     vec = per_doc.select("doc", F.transform("e", lambda x: x["bucket"]).alias("indices"),
                          F.transform("e", lambda x: (x["w"] / F.sqrt("ss")).cast("float")).alias("values"))
-    out = docs.select(F.col(id_col).alias("doc")).join(vec, "doc", "left")
+    out = ids.select(F.col(id_col).alias("doc")).join(vec, "doc", "left")
     return out.select(
         F.col("doc").alias(id_col),
         F.coalesce("indices", F.array().cast("array<int>")).alias("indices"),
         F.coalesce("values", F.array().cast("array<float>")).alias("values"))
 
 
+def encode(docs: DataFrame, term_df: DataFrame, n: DataFrame, id_col: str = "doc_id",
+           text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
+    """(id, indices, values) for every input row; empty texts get empty arrays.
+
+    ``term_df``/``n`` come from ``fit_idf``/``fit`` on the corpus (the docs
+    themselves or another table); terms the corpus never saw get df = 0.
+    """
+    return _encode_tf(docs, _tf(docs, id_col, text_col), term_df, n, id_col, dim)
+
+
+def fit(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        dim: int = DEFAULT_DIM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fit on a corpus and encode it: (vectors, term_df, n).
+
+    The corpus term frequencies are computed once and kept
+    (``persist(MEMORY_AND_DISK)``, rebuilt from lineage if an executor is
+    lost): the idf statistics, the corpus vectors and any later query
+    encoding all read them.
+    """
+    tf = _tf(corpus, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    term_df, n = fit_idf(corpus, id_col, text_col, tf=tf)
+    return _encode_tf(corpus, tf, term_df, n, id_col, dim), term_df, n
+
+
 def hashed_tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  dim: int = DEFAULT_DIM) -> DataFrame:
     """T14 fitted and applied on the same table."""
-    term_df, n = fit_idf(docs, id_col, text_col)
-    return encode(docs, term_df, n, id_col, text_col, dim)
+    return fit(docs, id_col, text_col, dim)[0]
 
 
 def to_dense(indices, values, dim: int = DEFAULT_DIM) -> Column:

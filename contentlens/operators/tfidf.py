@@ -18,6 +18,7 @@ Smooth idf: ``ln((1 + n) / (1 + df)) + 1`` (MLlib's ``IDF`` omits the
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +26,16 @@ from ..functions import text as X
 from .stats import attach_scalars
 
 
-def term_frequencies(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    """(id, term, tf) for every term occurrence count > 0."""
+def term_frequencies(docs: DataFrame, id_col: str, terms: Column, keep: bool = True) -> DataFrame:
+    """(id, term, tf) for every term occurrence count > 0.
+
+    The table feeds both the corpus statistics and the weights; ``keep``
+    persists it (MEMORY_AND_DISK, rebuilt from lineage if lost) so the texts
+    are tokenized once.
+    """
     toks = docs.select(F.col(id_col).alias("doc"), F.explode(terms).alias("term"))
-    return toks.groupBy("doc", "term").agg(F.count(F.lit(1)).cast("long").alias("tf"))
+    tf = toks.groupBy("doc", "term").agg(F.count(F.lit(1)).cast("long").alias("tf"))
+    return tf.persist(StorageLevel.MEMORY_AND_DISK) if keep else tf
 
 
 def vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None,
@@ -58,10 +65,14 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, bounded_vocab: bool = True) -
 
 
 def _keyword_docs(docs: DataFrame, id_col: str, text_col: str, stopwords=None):
-    kept = X.remove_stopwords(X.preprocess_text(text_col), stopwords)
-    base = docs.select(F.col(id_col), kept.alias("_kept"))
-    valid = base.filter(F.col("_kept") != "")
-    terms = X.drop_stop_terms(F.regexp_extract_all(F.col("_kept"), F.lit(X.TERM), 0), stopwords)
+    """Valid documents (non-empty after X6 + X7), their count, and the term expression."""
+    words = list(X.ENGLISH_STOPWORDS if stopwords is None else stopwords)
+    toks = F.split(X.preprocess_text(text_col), " ")
+    # short-circuits at the first kept word: cheap, unlike rebuilding the text
+    has_word = F.exists(toks, lambda w: (w != "") & ~w.isin(words)) if words else \
+        F.exists(toks, lambda w: w != "")
+    valid = docs.filter(has_word)
+    terms = X.keyword_terms(text_col, stopwords)
     n = valid.agg(F.count(F.lit(1)).alias("n"))
     return valid, terms, n
 

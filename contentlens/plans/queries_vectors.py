@@ -216,8 +216,8 @@ top AS (SELECT qid, id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DE
 
 def _j4(spark, sf):
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    term_df, n = EM.fit_idf(docs)
-    corpus = SIM.as_vectors(EM.encode(docs, term_df, n), "doc_id", sparse=("indices", "values"))
+    cvec, term_df, n = EM.fit(docs)
+    corpus = SIM.as_vectors(cvec, "doc_id", sparse=("indices", "values"))
     qs = SIM.as_vectors(EM.encode(bench, term_df, n, id_col="item_id"), "item_id",
                         sparse=("indices", "values"))
     return SIM.similar_pages(qs, corpus, SIM_K, SIM_T)
