@@ -11,17 +11,17 @@ from ..operators import model as M
 from ..operators import similarity as SIM
 from ..operators import stats as S
 from ..session import checkpoint_dir
-from .pipeline import analyze_pages, run_pipeline
+from .jobs import analyze_pages, run_end_to_end
 from .queries import _hist_sql, labelled_docs
 from .queries_vectors import _DOC_PAIRS, _FLAT, DUP_T
 from .registry import register, table
 
-SMOKE_TREES = 50
+TREES = 500          # the reference forest size
 
 
-@register("e1_run_pipeline")
-def e1_run_pipeline(spark, sf):
-    out = run_pipeline(table(spark, sf, "pages"), num_trees=SMOKE_TREES)
+@register("e1_end_to_end")
+def e1_end_to_end(spark, sf):
+    out = run_end_to_end(table(spark, sf, "pages"), num_trees=TREES)
     return out["scored"].select("page_id", "url", "word_count", "sentence_count", "flesch_reading_ease",
                                 F.array_join("top_keywords", ", ").alias("top_keywords"),
                                 "quality_label", "predicted_quality", "split")
@@ -29,7 +29,7 @@ def e1_run_pipeline(spark, sf):
 
 def _doc_model(spark, sf):
     s = M.stratified_split(labelled_docs(spark, sf), "quality_label", "doc_id", 0.3, 42)
-    return M.train_quality_model(s.filter(F.col("split") == "train"), num_trees=SMOKE_TREES)
+    return M.train_quality_model(s.filter(F.col("split") == "train"), num_trees=TREES)
 
 
 @register("e2_analyze_pages")

@@ -266,7 +266,7 @@ SELECT 'doc:' || f.doc_id::VARCHAR AS url, f.word_count, f.sentence_count, f.fle
        coalesce(vs.nnz, 0)::BIGINT AS embedding_nnz, coalesce(vs.vsum, 0.0) AS embedding_sum
 FROM feat f LEFT JOIN vs ON vs.id = f.doc_id""")
 def t15_build_features(spark, sf):
-    from .pipeline import build_features
+    from .jobs import build_features
     f = build_features(table(spark, sf, "documents"), id_col="doc_id", text_col="text")
     return f.select("url", "word_count", "sentence_count", "flesch_reading_ease",
                     F.size("embedding_indices").cast("long").alias("embedding_nnz"),
