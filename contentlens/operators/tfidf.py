@@ -65,16 +65,22 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, bounded_vocab: bool = True) -
 
 
 def _keyword_docs(docs: DataFrame, id_col: str, text_col: str, stopwords=None):
-    """Valid documents (non-empty after X6 + X7), their count, and the term expression."""
+    """The documents, the term expression, and the number of valid documents
+    (non-empty after X6 + X7).
+
+    No filter: a document with no kept word yields no terms anyway, and a
+    filter here would be pushed below a narrow scan's round-robin spread
+    (Catalyst pushes predicates through ``Repartition``) and run in the scan
+    task.  The count is a conditional aggregate instead, evaluated after it.
+    """
     words = list(X.ENGLISH_STOPWORDS if stopwords is None else stopwords)
     toks = F.split(X.preprocess_text(text_col), " ")
     # short-circuits at the first kept word: cheap, unlike rebuilding the text
     has_word = F.exists(toks, lambda w: (w != "") & ~w.isin(words)) if words else \
         F.exists(toks, lambda w: w != "")
-    valid = docs.filter(has_word)
     terms = X.keyword_terms(text_col, stopwords)
-    n = valid.agg(F.count(F.lit(1)).alias("n"))
-    return valid, terms, n
+    n = docs.agg(F.count(F.when(has_word, 1)).alias("n"))
+    return docs, terms, n
 
 
 def keyword_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -83,8 +89,8 @@ def keyword_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``stopwords``: None = the English list; ``[]`` = keep every word.
     """
-    valid, terms, n = _keyword_docs(docs, id_col, text_col, stopwords)
-    tf = term_frequencies(valid, id_col, terms)
+    docs, terms, n = _keyword_docs(docs, id_col, text_col, stopwords)
+    tf = term_frequencies(docs, id_col, terms)
     vocab = vocabulary(tf, n, max_features)
     return tfidf_weights(tf, vocab)
 

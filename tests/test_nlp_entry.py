@@ -105,3 +105,16 @@ def test_model_save_load(spark):
     b = M.predict_quality(again, df).orderBy("id").select("predicted_quality").collect()
     assert a == b
     del F
+
+
+def test_end_to_end_writes_stages(spark):
+    from contentlens.plans.jobs import run_end_to_end
+    d = tempfile.mkdtemp(prefix="cl-e1-")
+    pages = spark.read.parquet(f"{SMOKE}/pages.parquet")
+    out = run_end_to_end(pages, num_trees=20, out_dir=d)
+    for name in ("extracted", "features", "pairs", "copy_groups", "summary", "scored", "metrics"):
+        assert os.path.isdir(f"{d}/{name}"), name
+    assert os.path.isdir(f"{d}/model")
+    # later stages read the written feature table, and every page is scored
+    assert spark.read.parquet(f"{d}/scored").count() == pages.count()
+    assert out["features"].count() == pages.count()
