@@ -63,7 +63,10 @@ def _encode_tf(ids: DataFrame, tf: DataFrame, term_df: DataFrame, n: DataFrame,
     idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.coalesce(F.col("df"), F.lit(0)))) + F.lit(1.0)
     w = j.select("doc", term_bucket(F.col("term"), dim).alias("bucket"),
                  (F.col("tf") * idf).cast("decimal(38,18)").alias("w"))
-    wb = w.groupBy("doc", "bucket").agg(F.sum("w").cast("double").alias("w"))
+    # One shuffle by document serves both aggregates below: (doc, bucket) and
+    # doc are both clustered by doc.  A document is one source row, so a key
+    # is bounded by the length of one text.
+    wb = w.repartition("doc").groupBy("doc", "bucket").agg(F.sum("w").cast("double").alias("w"))
     per_doc = wb.groupBy("doc").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "w"))).alias("e"),
         F.sum((F.col("w") * F.col("w")).cast("decimal(38,18)")).cast("double").alias("ss"))
