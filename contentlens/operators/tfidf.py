@@ -92,7 +92,8 @@ def keyword_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs, terms, n = _keyword_docs(docs, id_col, text_col, stopwords)
     tf = term_frequencies(docs, id_col, terms)
     vocab = vocabulary(tf, n, max_features)
-    return tfidf_weights(tf, vocab)
+    # broadcast only a vocabulary cut to max_features rows
+    return tfidf_weights(tf, vocab, bounded_vocab=max_features is not None)
 
 
 def top_keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -128,7 +129,7 @@ def corpus_keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = sample.agg(F.count(F.lit(1)).alias("n"))
     tf = term_frequencies(toks, id_col, X.ngrams_1_2("_t"))
     vocab = vocabulary(tf, n, max_features, min_df, max_df)
-    weights = tfidf_weights(tf, vocab)
+    weights = tfidf_weights(tf, vocab, bounded_vocab=max_features is not None)
     score = (weights.groupBy("term").agg(F.sum("weight").alias("s"))
              .transform(lambda d: attach_scalars(d, n))
              .select("term", F.round(F.col("s") / F.col("n"), 6).alias("score")))
@@ -144,7 +145,9 @@ def count_vectorize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = sample.agg(F.count(F.lit(1)).alias("n"))
     tf = term_frequencies(sample, id_col, X.drop_stop_terms(X.tokenize_terms(text_col)))
     vocab = vocabulary(tf, n, max_features, min_df, max_df)
-    counts = tf.join(F.broadcast(vocab.select("term")), "term").select("doc", "term", F.col("tf").alias("count"))
+    terms = vocab.select("term")
+    terms = F.broadcast(terms) if max_features is not None else terms
+    counts = tf.join(terms, "term").select("doc", "term", F.col("tf").alias("count"))
     return counts, vocab
 
 

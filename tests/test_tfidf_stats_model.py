@@ -109,3 +109,16 @@ def test_model_train_predict_and_unknown(spark):
     imp = M.feature_importance(model, spark).collect()
     assert len(imp) == 3 and abs(sum(r.importance for r in imp) - 1) < 1e-6
     assert {r.predicted_quality for r in M.predict_quality(None, df).collect()} == {"Unknown"}
+
+
+def test_unbounded_vocabulary_is_not_broadcast(spark):
+    from .conftest import SMOKE
+    docs = spark.read.parquet(f"{SMOKE}/documents.parquet")
+    out = T.top_keywords(docs, max_features=None)
+    assert out.count() == docs.count()
+
+    def hints(mf):
+        plan = T.keyword_matrix(docs, max_features=mf)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.lower().count("broadcast")
+    # the bounded vocabulary carries one more broadcast hint than the unbounded one
+    assert hints(None) < hints(100)
