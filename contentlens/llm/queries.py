@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_embed
+from . import quality_embed, simhash
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -23,3 +23,8 @@ def query(name: str, sql: str | None = None):
 def op1(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_embed.score_documents(docs, quality_embed.fit(docs, labels))
+
+
+@query("op2_simhash_near_dedup")
+def op2(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
