@@ -146,11 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class:
     def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             f = features(pdf["text"].tolist())
-            yield pd.DataFrame({"y": pdf["y"], "ids": [a for a, _ in f], "share": [b for _, b in f]})
+            yield pd.DataFrame({"y": pdf["y"], "ids": [a.tobytes() for a, _ in f], "share": [b.tobytes() for _, b in f]})
 
-    got = sample.mapInPandas(hashed, "y int, ids array<smallint>, share array<float>").collect()
-    rows = sorted(((int(r["y"]), np.array(r["ids"], np.int16), np.array(r["share"], np.float32))
-                   for r in got if r["ids"]), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    # packed bytes: a list of boxed numbers would take ten times the memory
+    got = sorted(sample.mapInPandas(hashed, "y int, ids binary, share binary").collect())
+    rows = [(y, np.frombuffer(ids, np.int16), np.frombuffer(share, np.float32)) for y, ids, share in got if ids]
     if len({r[0] for r in rows}) < 2:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(n1 / n0)))
     return train(rows, float(np.log(n1 / n0)))
