@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_embed, simhash
+from . import pieces, quality_embed, simhash
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -28,3 +28,13 @@ def op1(spark, sf_dir):
 @query("op2_simhash_near_dedup")
 def op2(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: A public SentencePiece model with byte pieces; read on the driver, never copied into the repository.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op10_sentencepiece_codec")
+def op10(spark, sf_dir):
+    codec = pieces.Codec(pieces.Vocabulary.read(PIECE_MODEL))
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), codec)
