@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, quality_embed, simhash
+from . import mixing, pieces, quality_embed, simhash
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -38,3 +38,8 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def op10(spark, sf_dir):
     codec = pieces.Codec(pieces.Vocabulary.read(PIECE_MODEL))
     return pieces.encode_documents(table(spark, sf_dir, "documents"), codec)
+
+
+@query("op6_mix_sources", mixing.ORACLE)
+def op6(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
