@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality_embed, simhash
+from . import mixing, pieces, quality_embed, rules, simhash
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -43,3 +43,8 @@ def op10(spark, sf_dir):
 @query("op6_mix_sources", mixing.ORACLE)
 def op6(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_rules")
+def op9(spark, sf_dir):
+    return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
