@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality_embed, rules, simhash
+from . import mixing, pieces, quality_embed, rules, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -48,3 +48,9 @@ def op6(spark, sf_dir):
 @query("op9_quality_rules")
 def op9(spark, sf_dir):
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_documents(docs, toxicity.fit(docs, labels))
