@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality_embed, rules, simhash, toxicity
+from . import html_density, mixing, pieces, quality_embed, rules, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -54,3 +54,8 @@ def op9(spark, sf_dir):
 def op3(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score_documents(docs, toxicity.fit(docs, labels))
+
+
+@query("op8_html_main_text")
+def op8(spark, sf_dir):
+    return html_density.extract_pages(table(spark, sf_dir, "pages"))
