@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_density, mixing, pieces, quality_embed, rules, simhash, toxicity
+from . import html_density, licenses, mixing, pieces, quality_embed, rules, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -59,3 +59,8 @@ def op3(spark, sf_dir):
 @query("op8_html_main_text")
 def op8(spark, sf_dir):
     return html_density.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op4_license_scan")
+def op4(spark, sf_dir):
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
