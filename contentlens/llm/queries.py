@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_density, licenses, mixing, pieces, quality_embed, rules, simhash, toxicity
+from . import html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -64,3 +64,8 @@ def op8(spark, sf_dir):
 @query("op4_license_scan")
 def op4(spark, sf_dir):
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_balanced_shards")
+def op7(spark, sf_dir):
+    return sharding.balanced_shards(table(spark, sf_dir, "documents"))
