@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, toxicity
+from . import html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -69,3 +69,8 @@ def op4(spark, sf_dir):
 @query("op7_balanced_shards")
 def op7(spark, sf_dir):
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op5_exact_top_k", topk.ORACLE)
+def op5(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
