@@ -1,6 +1,6 @@
 """Vectorised 64-bit hashes of words and character n-grams of many texts at once (numpy, inside tasks).
 
-All texts of a batch are joined, separated by line ends, into one array of code points.  With
+All texts of a batch are joined, each after a line end, into one array of code points.  With
 P[i] = sum of (c_j + 1) * B^j for j < i (mod 2^64) and B odd, the hash of any piece [s, e) is
 (P[e] - P[s]) * B^-s, so hashing every n-gram is a few array operations.
 """
@@ -48,7 +48,8 @@ class Pieces:
     """Code points, words and hashes of a list of texts."""
 
     def __init__(self, texts: list[str]):
-        cps = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        # a line end before each text and one after the last: the borders of a text's first and last word
+        cps = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         lens = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
         space = (cps == 32) | ((cps >= 9) & (cps <= 13))

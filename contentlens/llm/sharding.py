@@ -2,9 +2,9 @@
 
 Documents of equal text are linked.  Every document starts in a shard by the hash of its id.  Each round,
 Spark joins and aggregations count for every group how many members each shard holds; members outside the group's
-fullest shard that still has room ask to move there, and quotas grant the moves: requests are summed
-by target and hash bucket, and a target takes whole buckets while its running sum fits the room that linked
-documents may use.  Rounds end when nothing moves.  A group above a shard's capacity is dealt by
+fullest shard ask to move there, and quotas grant the moves: a pair of shards may exchange as many rows as ask
+in both directions, and free room is shared among the rest. Requests are summed by pair and hash bucket,
+and whole buckets are granted while their running sum fits the quota.  Rounds end when nothing moves.  A group above a shard's capacity is dealt by
 hash into parts that fit one shard.  Then shards are made even: each keeps its first
 quota of rows, linked ones before single ones, and what is above goes to the holes of shards below theirs.
 
@@ -21,7 +21,7 @@ from .common import cut
 
 SHARDS = 40
 ROUNDS = 8
-BUCKETS = 1024        # hash buckets of a target's requests
+BUCKETS = 256         # hash buckets of the requests of a pair of shards
 ROWS_A_BUCKET = 2000  # rows a numbering bucket holds on average
 OVERHEAD = 16
 
@@ -34,30 +34,49 @@ def _pick(values: list[int], at: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), (at + 1).cast("int"))
 
 
+def _quotas(asked: dict[tuple[int, int], int], free: list[int], shards: int) -> list[int]:
+    """Rows that may move from s to t, at s * shards + t: as many as come back, and a part of t's free room."""
+    swap = {(s, t): min(n, asked.get((t, s), 0)) for (s, t), n in asked.items()}
+    wish = [sum(n - swap[s, t] for (s, t), n in asked.items() if t == k) for k in range(shards)]
+    out = [0] * (shards * shards)
+    for (s, t), n in asked.items():
+        more = n - swap[s, t]
+        out[s * shards + t] = swap[s, t] + (min(more, free[t] * more // wish[t]) if more else 0)
+    return out
+
+
 def propagate(linked: DataFrame, room: list[int], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, text_id, size, grp, shard): labels after balanced propagation.
 
     ``linked``: rows (.., grp, mark, shard) of documents in groups of two and more; ``room``: rows each shard may hold.
-    Cells (group, shard) move whole; the driver sees one load per shard and round."""
+    Cells (group, shard) move whole; the driver sees one load a shard and one sum a pair of shards each round."""
     cells = cut(linked.groupBy("grp", "shard").agg(F.count("*").alias("n")).withColumn("home", F.col("shard")), "cells")
-    for _ in range(rounds):
+    idle = 0
+    for step in range(rounds):
         loads = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         free = [max(0, room[s] - loads.get(s, 0)) for s in range(shards)]
         now = cells.groupBy("grp", "shard").agg(F.sum("n").alias("n"))
-        # the fullest shard of a group is its target; a full one only if the group is whole there already
-        rank = F.struct((_pick(free, F.col("shard")) > 0).alias("open"), F.col("n"), _hash(F.col("grp"), 1).alias("h"), F.col("shard"))
+        # a group's target is its fullest shard, in every other round its fullest shard with room
+        open_ = F.lit(True) if step % 2 == 0 else _pick(free, F.col("shard")) > 0
+        rank = F.struct(open_.alias("open"), F.col("n"), _hash(F.col("grp"), 1).alias("h"), F.col("shard"))
         target = now.groupBy("grp").agg(F.max(rank).alias("t"), F.count("*").alias("shards")).filter("shards > 1 AND t.open").select(
             "grp", F.col("t.shard").alias("target"), F.col("t.n").alias("there"))
         asked = (now.join(target, "grp").filter("shard <> target AND n <= there")
                  .withColumn("bucket", F.pmod(_hash(F.concat_ws(" ", "grp", "shard"), 2), F.lit(BUCKETS)).cast("int")))
         asked = cut(asked.select("grp", "shard", "target", "n", "bucket"), "asked")
-        sums = asked.groupBy("target", "bucket").agg(F.sum("n").alias("n"))
-        upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("target").orderBy("bucket")))
-        granted = upto.filter(F.col("upto") <= _pick(free, F.col("target"))).groupBy("target").agg(F.max("bucket").alias("last"))
-        limits = {r["target"]: r["last"] for r in granted.collect()}  # one number a shard
-        if not limits:
+        quota = _quotas({(r["shard"], r["target"]): r["n"] for r in
+                         asked.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}, free, shards)
+        pair = F.col("shard") * shards + F.col("target")
+        sums = asked.groupBy("shard", "target", "bucket").agg(F.sum("n").alias("n"))
+        upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("shard", "target").orderBy("bucket")))
+        granted = upto.filter(F.col("upto") <= _pick(quota, pair)).groupBy("shard", "target").agg(F.max("bucket").alias("last"))
+        limits = {r["shard"] * shards + r["target"]: r["last"] for r in granted.collect()}  # one number a pair of shards
+        idle = 0 if limits else idle + 1
+        if idle == 2:
             break
-        moves = asked.filter(F.col("bucket") <= _pick([limits.get(s, -1) for s in range(shards)], F.col("target"))).select(
+        if not limits:
+            continue
+        moves = asked.filter(F.col("bucket") <= _pick([limits.get(k, -1) for k in range(shards * shards)], pair)).select(
             "grp", "shard", "target")
         cells = cut(cells.join(moves, ["grp", "shard"], "left").select(
             "grp", "n", "home", F.coalesce("target", "shard").alias("shard")), "cells")

@@ -70,8 +70,8 @@ def _clean(texts: list[str]) -> list[str]:
 _ASCII = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
-def token_features(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each batch: (first text, document of each feature, feature hash); words, then beginnings of longer words."""
+def token_features(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each batch: (first text, texts, document of each feature, feature hash); words, then beginnings of longer words."""
     for first, part in batches(texts):
         p = Pieces(_clean(part))
         docs, hashes = [p.w_doc], [_folded(p.words(), 0)]
@@ -80,15 +80,15 @@ def token_features(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarr
             s = p.w_start[longer]
             docs.append(p.w_doc[longer])
             hashes.append(_folded(p.hashes(s, s + n), n))
-        yield first, np.concatenate(docs), np.concatenate(hashes)
+        yield first, len(part), np.concatenate(docs), np.concatenate(hashes)
 
 
 def feature_sets(texts: list[str]) -> list[np.ndarray]:
     """Distinct feature hashes of each text."""
     out: list[np.ndarray] = []
-    for _, docs, hashes in token_features(texts):
+    for _, n_docs, docs, hashes in token_features(texts):
         order = np.argsort(docs, kind="stable")
-        cuts = np.searchsorted(docs[order], np.arange(len(set(docs.tolist())) and docs.max() + 2))
+        cuts = np.searchsorted(docs[order], np.arange(n_docs + 1))
         per = [np.unique(hashes[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
         out += per
     return out
@@ -207,7 +207,7 @@ class Classifier:
     def scores(self, texts: list[str]) -> np.ndarray:
         z = np.full(len(texts), self.bias)
         if len(self.keys):
-            for first, docs, hashes in token_features(texts):
+            for first, _, docs, hashes in token_features(texts):
                 at = self.maybe[hashes >> np.uint64(44)]
                 docs, hashes = docs[at], hashes[at]
                 place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
