@@ -26,9 +26,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+#: Session setting by which a caller (the bench, on one-file tables) asks for ``spread`` inputs.
+SPREAD = "contentlens.spread"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from ..sources.readers import spread
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spark.conf.get(SPREAD, "false") == "true" else df
 
 
 def all_queries() -> dict[str, tuple[QueryFn, str | None]]:

@@ -5,27 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-RAW_PAGES = T.StructType([
-    T.StructField("url", T.StringType()),
-    T.StructField("html_content", T.StringType()),
-])
-
-EXTRACTED = T.StructType([
-    T.StructField("url", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("body_text", T.StringType()),
-    T.StructField("word_count", T.LongType()),
-])
-
-FEATURES = T.StructType([
-    T.StructField("url", T.StringType()),
-    T.StructField("word_count", T.LongType()),
-    T.StructField("sentence_count", T.LongType()),
-    T.StructField("flesch_reading_ease", T.DoubleType()),
-    T.StructField("top_keywords", T.ArrayType(T.StringType())),
-    T.StructField("embedding", T.ArrayType(T.FloatType())),
-])
-
 # CSV form of the features table: keywords ", "-joined, vector as "[a,b,...]".
 FEATURES_CSV = T.StructType([
     T.StructField("url", T.StringType()),
@@ -36,20 +15,6 @@ FEATURES_CSV = T.StructType([
     T.StructField("embedding", T.StringType()),
 ])
 
-DUPLICATE_PAIRS = T.StructType([
-    T.StructField("url_1", T.StringType()),
-    T.StructField("url_2", T.StringType()),
-    T.StructField("similarity", T.DoubleType()),
-    T.StructField("word_count_1", T.LongType()),
-    T.StructField("word_count_2", T.LongType()),
-])
-
-SIMILAR_PAGE = T.StructType([
-    T.StructField("url", T.StringType()),
-    T.StructField("similarity", T.DoubleType()),
-])
-
-
 def require_columns(df: DataFrame, *cols: str) -> DataFrame:
     """Raise ``ValueError`` naming the missing columns; return ``df`` unchanged."""
     missing = [c for c in cols if c not in df.columns]
