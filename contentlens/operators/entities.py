@@ -17,14 +17,16 @@ from ..functions.resources import ENGLISH_STOPWORDS, SEED_GAZETTEER
 
 # --- FIXED VALUES: candidate pattern and minimum text length -----------------
 CAPITALISED_RUN = r"\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*"
+# Same matches, but the possessive loop runs without recursion in the JVM, so a
+# run of any length (a list page in title case) cannot exhaust the stack.
+RUN_PATTERN = CAPITALISED_RUN + "+"
 MIN_CHARS = 10
 UNKNOWN = "UNKNOWN"
-BROADCAST_LIMIT = 1_000_000
 
 
 def entity_candidates(text) -> F.Column:
     """Array of entity strings of one text, in order of appearance."""
-    runs = F.regexp_extract_all(X.text_or_empty(text), F.lit(CAPITALISED_RUN), 0)
+    runs = F.regexp_extract_all(X.text_or_empty(text), F.lit(RUN_PATTERN), 0)
 
     def trim_lead(run):
         words = F.split(run, " ")
@@ -40,7 +42,7 @@ def extract_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     gaz = gazetteer if gazetteer is not None else spark.createDataFrame(SEED_GAZETTEER, "phrase string, type string")
     gaz = gaz.groupBy("phrase").agg(F.min("type").alias("type"))
-    if gazetteer is None or gazetteer.count() <= BROADCAST_LIMIT:
+    if gazetteer is None:  # the built-in list; a user's table is joined as its size allows
         gaz = F.broadcast(gaz)
     t = X.text_or_empty(text_col)
     ents = docs.filter(F.length(t) >= MIN_CHARS).select(
@@ -70,6 +72,3 @@ def top_entities(entities: DataFrame, n: int = 15) -> DataFrame:
     c = entities.groupBy("entity").agg(F.count(F.lit(1)).cast("long").alias("n"))
     return c.orderBy(F.desc("n"), F.asc("entity")).limit(n)
 
-
-def entity_total(entities: DataFrame) -> DataFrame:
-    return entities.agg(F.count(F.lit(1)).cast("long").alias("total_entities"))

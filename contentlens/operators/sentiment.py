@@ -25,7 +25,6 @@ from ..functions.resources import (BOOSTER_INCREMENT, BOOSTERS, NEGATION_SCALAR,
 SENT_TOKEN = r"[\p{L}\p{N}_']+"
 DECAY = {1: 1.0, 2: 0.95, 3: 0.9}
 MIN_CHARS = 10
-BROADCAST_LIMIT = 1_000_000   # lexicon rows; larger tables are joined by shuffle
 
 
 def resource_table(spark: SparkSession, lexicon: DataFrame | None = None) -> DataFrame:
@@ -48,8 +47,7 @@ def sentiment_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, neg, neu, pos, compound, sentiment) for every input row."""
     spark = docs.sparkSession
     res = resource_table(spark, lexicon)
-    # The seed tables are a few hundred rows; a user lexicon is counted first.
-    if lexicon is None or lexicon.count() <= BROADCAST_LIMIT:
+    if lexicon is None:  # the built-in lists; a user's lexicon is joined as its size allows
         res = F.broadcast(res)
     t = X.text_or_empty(text_col)
     base = docs.select(F.col(id_col).alias("doc"), F.length(t).alias("_len"),
