@@ -19,11 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .holding import hold
 from .stats import attach_scalars
 
 DEFAULT_DIM = 384
@@ -98,7 +98,7 @@ def fit(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost): the idf statistics, the corpus vectors and any later query
     encoding all read them.
     """
-    tf = _tf(corpus, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    tf = hold(_tf(corpus, id_col, text_col))
     term_df, n = fit_idf(corpus, id_col, text_col, tf=tf)
     return _encode_tf(corpus, tf, term_df, n, id_col, dim), term_df, n
 

@@ -25,11 +25,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .holding import hold
 from .stats import attach_scalars
 
 PAIR_SCHEMA = "id_1 long, id_2 long, similarity double"
@@ -99,7 +99,7 @@ def block_pairs(v: DataFrame, threshold: float | None, block_size: int = 2048,
     sparse = _is_sparse(v)
     # The count decides the number of blocks; persisting first means the
     # vectors are computed once for both the count and the pair pass.
-    v = v.persist(StorageLevel.MEMORY_AND_DISK)
+    v = hold(v)
     n, d = _count_and_dim(v, sparse, dim)
     nb = max(1, math.ceil(n / block_size))
     routed = _route_self(v, nb)
@@ -131,87 +131,6 @@ def block_pairs(v: DataFrame, threshold: float | None, block_size: int = 2048,
     return routed.groupBy("ka", "kb").applyInPandas(run, PAIR_SCHEMA)
 
 
-def _planes(d: int, nbits: int, seed: int) -> np.ndarray:
-    """Random hyperplanes, generated from the seed on every worker (nothing shipped)."""
-    return np.random.default_rng(seed).standard_normal((d, nbits))
-
-
-def _band_keys(u: np.ndarray, planes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    bits = (u @ planes) >= 0
-    weights = (1 << np.arange(rows, dtype=np.int64))
-    return bits.reshape(len(u), bands, rows).astype(np.int64) @ weights      # (n, bands)
-
-
-def lsh_pairs(v: DataFrame, threshold: float, bands: int = 64, rows: int = 12, seed: int = 42,
-              block_size: int = 2048, dim: int | None = None) -> DataFrame:
-    """J3 candidates by banded sign random projections (Charikar 2002), verified exactly.
-
-    A pair is a candidate when all ``rows`` sign bits of one of ``bands`` bands
-    agree; for cosine c one band agrees with probability (1 - acos(c)/pi)^rows
-    (64 x 12 bits: about 98.5 % recall at c = 0.8, 1.6 % of orthogonal pairs).
-    Every reported pair is exact (cosine computed, threshold applied); the
-    method can only miss pairs, never invent them.
-
-    Plan: signatures in ``mapInPandas`` -> (id, band, key) rows; bucket sizes
-    by aggregation; members of buckets with two or more vectors are routed
-    to bounded sub-block pairs of their bucket (a hot bucket is split, never
-    one task); vectors join their routes by id; one ``applyInPandas`` task
-    per (band, key, sub-block pair) verifies and keeps a pair only in the
-    first band where the two signatures agree, so overlaps never duplicate.
-    """
-    sparse = _is_sparse(v)
-    v = v.persist(StorageLevel.MEMORY_AND_DISK)
-    _, d = _count_and_dim(v, sparse, dim)
-    nbits = bands * rows
-
-    def signatures(batches):
-        planes = _planes(d, nbits, seed)
-        for pdf in batches:
-            u = _unit_rows(pdf, sparse, d)
-            keys = _band_keys(u, planes, bands, rows)
-            m = len(pdf)
-            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), bands),
-                                "band": np.tile(np.arange(bands, dtype=np.int32), m),
-                                "key": keys.reshape(-1)})
-
-    sig = v.mapInPandas(signatures, "id long, band int, key long")
-    sizes = sig.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= 2)
-    live = sig.join(sizes, ["band", "key"])
-    nsb = F.ceil(F.col("m") / F.lit(block_size)).cast("int")
-    routed = (live.withColumn("blk", F.pmod(F.xxhash64("id"), nsb).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), nsb - 1))))
-    ka, kb = F.least("blk", "other"), F.greatest("blk", "other")
-    side = F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") == ka, 0).otherwise(1)
-    routed = routed.select("id", "band", "key", ka.alias("ka"), kb.alias("kb"), side.alias("side"))
-    payload = routed.join(v, "id")
-    t = float(threshold)
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        side = pdf["side"].to_numpy()
-        band = int(pdf["band"].iloc[0])
-        u = _unit_rows(pdf, sparse, d)
-        if (side == 2).all():
-            li = ri = np.arange(len(ids))
-            s = u @ u.T
-            mask = ids[:, None] < ids[None, :]
-        else:
-            li, ri = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-            s = u[li] @ u[ri].T
-            mask = np.ones(s.shape, dtype=bool)
-        i, j = np.nonzero(mask & (s > t))
-        if i.size:
-            keys = _band_keys(u, _planes(d, nbits, seed), bands, rows)
-            same = keys[li[i]] == keys[ri[j]]                  # (pairs, bands)
-            first = np.argmax(same, axis=1)
-            keep = first == band
-            i, j = i[keep], j[keep]
-        a, b = ids[li[i]], ids[ri[j]]
-        return pd.DataFrame({"id_1": np.minimum(a, b), "id_2": np.maximum(a, b), "similarity": s[i, j]})
-
-    return payload.groupBy("band", "key", "ka", "kb").applyInPandas(verify, PAIR_SCHEMA)
-
-
 def similarity_matrix(v: DataFrame, block_size: int = 2048) -> DataFrame:
     """Long form (id_1 < id_2, similarity) of the whole matrix (quadratic by definition)."""
     return block_pairs(v, None, block_size)
@@ -231,13 +150,9 @@ def collapse_copies(v: DataFrame) -> DataFrame:
     return g.withColumn("is_zero", is_zero_vector(sparse))
 
 
-EXACT_MAX = 250_000     # distinct vectors searched exactly under method="auto"
-
-
 def duplicate_pairs(v: DataFrame, threshold: float = 0.80, empty_policy: str = "match",
-                    block_size: int = 2048, method: str = "exact", bands: int = 64, rows: int = 12,
-                    seed: int = 42, exact_max: int = EXACT_MAX) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicate pairs (cosine strictly above ``threshold``).
+                    block_size: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicate pairs (cosine strictly above ``threshold``), complete at every table size.
 
     Returns ``(pairs, copy_groups)``:
       pairs        id_1 < id_2 (representatives of distinct vectors), similarity
@@ -247,27 +162,15 @@ def duplicate_pairs(v: DataFrame, threshold: float = 0.80, empty_policy: str = "
                    ``empty_policy='match'`` (every empty text duplicates every
                    other, as the reference's encoder made them) and dropped
                    with ``'drop'``.
-
-    ``method``: ``"exact"`` (block pairs, every pair), ``"lsh"`` (banded sign
-    projections + exact verification; can miss pairs, never adds any) or
-    ``"auto"`` (exact up to ``exact_max`` distinct vectors, LSH beyond: exact
-    search moves each vector to n / block_size tasks, which stops paying off
-    at that size).
+    ``copy_members`` names the rows of every group.
     """
-    if method not in ("exact", "lsh", "auto"):
-        raise ValueError("method must be 'exact', 'lsh' or 'auto'")
     if empty_policy not in ("match", "drop"):
         raise ValueError("empty_policy must be 'match' or 'drop'")
     sparse = _is_sparse(v)
     # Read three times (block count, pair search, copy counts): keep it.
-    groups = collapse_copies(v).persist(StorageLevel.MEMORY_AND_DISK)
+    groups = hold(collapse_copies(v))
     reps = groups.filter(~F.col("is_zero")).select(F.col("rep").alias("id"), *_payload_cols(sparse))
-    if method == "auto":
-        method = "exact" if reps.count() <= exact_max else "lsh"
-    if method == "exact":
-        pairs = block_pairs(reps, threshold, block_size)
-    else:
-        pairs = lsh_pairs(reps, threshold, bands, rows, seed, block_size)
+    pairs = block_pairs(reps, threshold, block_size)
     cnt = groups.select(F.col("rep"), F.col("copies"))
     pairs = (pairs.join(cnt.withColumnRenamed("rep", "id_1").withColumnRenamed("copies", "copies_1"), "id_1")
              .join(cnt.withColumnRenamed("rep", "id_2").withColumnRenamed("copies", "copies_2"), "id_2")
@@ -316,16 +219,17 @@ def _route_bipartite(q: DataFrame, c: DataFrame, nbq: int, nbc: int) -> DataFram
 
 
 def similar_pages(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold: float = 0.70,
-                  block_size: int = 2048) -> DataFrame:
+                  block_size: int = 2048, exclude_self: bool = False) -> DataFrame:
     """For every query vector, its ``k`` most similar corpus vectors with
-    cosine >= threshold (rank 1 = most similar; ties by corpus id).
+    cosine >= threshold (rank 1 = most similar; ties by corpus id).  Similarities
+    are compared at nine decimals, so copies tie.  ``exclude_self`` leaves out the
+    corpus row of the query's own id.
 
     Each block pair keeps at most ``k`` candidates per query, so the final
     per-query window sees at most ``k * blocks`` rows.
     """
     sparse = _is_sparse(queries)
-    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
-    corpus = corpus.persist(StorageLevel.MEMORY_AND_DISK)
+    queries, corpus = hold(queries), hold(corpus)
     nq, dq = _count_and_dim(queries, sparse, None)
     nc, dc = _count_and_dim(corpus, sparse, None)
     d = max(dq, dc)
@@ -341,19 +245,15 @@ def similar_pages(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold:
         q_ids, c_ids = ids[qi], ids[ci]
         if q_ids.size == 0 or c_ids.size == 0:
             return pd.DataFrame({"qid": [], "id": [], "similarity": []})
-        s = u[qi] @ u[ci].T
-        out_q, out_c, out_s = [], [], []
-        for r in range(s.shape[0]):
-            cand = np.nonzero(s[r] >= t)[0]
-            if cand.size > k:
-                order = np.lexsort((c_ids[cand], -s[r, cand]))[:k]
-                cand = cand[order]
-            out_q.extend([q_ids[r]] * cand.size)
-            out_c.extend(c_ids[cand].tolist())
-            out_s.extend(s[r, cand].tolist())
-        return pd.DataFrame({"qid": np.asarray(out_q, dtype=np.int64),
-                             "id": np.asarray(out_c, dtype=np.int64),
-                             "similarity": np.asarray(out_s, dtype=np.float64)})
+        s = np.round(u[qi] @ u[ci].T, 9)
+        if exclude_self:
+            s[q_ids[:, None] == c_ids[None, :]] = -np.inf
+        q, c = np.nonzero(s >= t)
+        sim = s[q, c]
+        order = np.lexsort((c_ids[c], -sim, q))
+        q, c, sim = q[order], c[order], sim[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+        return pd.DataFrame({"qid": q_ids[q[best]], "id": c_ids[c[best]], "similarity": sim[best]})
 
     cand = routed.groupBy("bq", "bc").applyInPandas(run, TOPK_SCHEMA)
     w = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.asc("id"))

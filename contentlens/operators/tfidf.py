@@ -18,11 +18,11 @@ Smooth idf: ``ln((1 + n) / (1 + df)) + 1`` (MLlib's ``IDF`` omits the
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .holding import hold
 from .stats import attach_scalars
 
 
@@ -35,7 +35,7 @@ def term_frequencies(docs: DataFrame, id_col: str, terms: Column, keep: bool = T
     """
     toks = docs.select(F.col(id_col).alias("doc"), F.explode(terms).alias("term"))
     tf = toks.groupBy("doc", "term").agg(F.count(F.lit(1)).cast("long").alias("tf"))
-    return tf.persist(StorageLevel.MEMORY_AND_DISK) if keep else tf
+    return hold(tf) if keep else tf
 
 
 def vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None,

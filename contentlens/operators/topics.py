@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import tfidf as T
+from .holding import hold
 
 
 def doc_term_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -24,7 +25,7 @@ def doc_term_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sample = docs.filter(F.length(X.text_or_empty(text_col)) > min_chars)
     toks = sample.select(id_col, X.drop_stop_terms(X.tokenize_terms(text_col)).alias("tokens"))
     cv = CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="features")
-    return cv.transform(toks).select(id_col, "features"), terms
+    return hold(cv.transform(toks).select(id_col, "features")), terms  # every LDA pass reads it
 
 
 def fit_topics(vectors: DataFrame, k: int = 5, max_iter: int = 20, seed: int = 42) -> LDAModel:
@@ -51,5 +52,5 @@ def document_topics(model: LDAModel, vectors: DataFrame, id_col: str = "doc_id")
     out = model.transform(vectors).select(id_col, vector_to_array(F.col("topics")).alias("_w"))
     arr = F.col("_w")
     return out.select(id_col, (F.array_position(arr, F.array_max(arr)) - 1).cast("int").alias("dominant_topic"),
-                      F.round(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), 6).alias("weight_sum"))
+                      arr.alias("topic_weights"))
 

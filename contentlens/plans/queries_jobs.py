@@ -43,9 +43,9 @@ def e3_analyze_stream(spark, sf):
     from ..streaming.analyze import analyze_stream
     base = f"{checkpoint_dir(spark).rstrip('/')}/e3-{uuid.uuid4().hex}"
     q = analyze_stream(spark, f"{sf.rstrip('/')}/pages*.parquet", table(spark, sf, "documents"),
-                       f"{base}/out", checkpoint=f"{base}/ck")
+                       f"{base}/out", checkpoint=f"{base}/ck", model=_doc_model(spark, sf))
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("epoch")
 
 
 @register("a4_pair_similarity_histogram", f"""

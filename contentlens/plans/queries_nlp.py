@@ -145,7 +145,8 @@ def _lda(spark, sf):
 @register("t5_topic_model")
 def t5_topic_model(spark, sf):
     model, vecs, _ = _lda(spark, sf)
-    return TOP.document_topics(model, vecs)
+    weights = TOP.document_topics(model, vecs)
+    return weights.select("doc_id", "dominant_topic", F.posexplode("topic_weights").alias("topic", "weight"))
 
 
 @register("t6_topic_terms")

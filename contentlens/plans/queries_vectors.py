@@ -153,6 +153,17 @@ def j3_copy_groups_documents(spark, sf):
     return groups
 
 
+@register("j3_copy_members_documents", f"""
+WITH {_DOC_PAIRS}
+SELECT dg.rep, da.id, 'doc:' || da.id::VARCHAR AS url, feat_wc.wc AS word_count
+FROM da JOIN dg USING (v) JOIN feat_wc ON feat_wc.doc_id = da.id WHERE dg.copies >= 2""")
+def j3_copy_members_documents(spark, sf):
+    docs, v, _, groups = _doc_dups(spark, sf)
+    meta = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"),
+                       E.X.word_count("text").alias("word_count"))
+    return SIM.copy_members(v, groups).join(meta, "id").select("rep", "id", "url", "word_count")
+
+
 # brute-force flat form (every member pair), used by A2 / A7 twins
 _FLAT = """
 mem AS (SELECT da.id, dg.rep FROM da JOIN dg USING (v)),
@@ -208,7 +219,7 @@ qn AS (SELECT id, sqrt(sum(weight::DOUBLE * weight::DOUBLE)) AS nrm FROM qv GROU
 cn AS (SELECT id, sqrt(sum(weight::DOUBLE * weight::DOUBLE)) AS nrm FROM dv GROUP BY 1),
 dots AS (SELECT q.id AS qid, c.id AS id, sum(q.weight::DOUBLE * c.weight::DOUBLE) AS dot
          FROM qv q JOIN dv c ON q.bucket = c.bucket GROUP BY 1, 2),
-sims AS (SELECT qid, dots.id, dot / (qn.nrm * cn.nrm) AS sim FROM dots
+sims AS (SELECT qid, dots.id, round(dot / (qn.nrm * cn.nrm), 9) AS sim FROM dots
          JOIN qn ON qn.id = qid JOIN cn ON cn.id = dots.id),
 top AS (SELECT qid, id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank
         FROM sims WHERE sim >= {SIM_T})"""
@@ -246,6 +257,42 @@ def j8_max_similarity(spark, sf):
                     L.format_percent("max_similarity").alias("max_percent"))
 
 
+# J4 / J8 with documents as queries (every 20th id, the stated query set) against all documents
+_J4_DOCS = f"""{_t14_sql('documents', 'doc_id', 'text', 'd')},
+cn AS (SELECT id, sqrt(sum(weight::DOUBLE * weight::DOUBLE)) AS nrm FROM dv GROUP BY 1),
+dots AS (SELECT q.id AS qid, c.id AS id, sum(q.weight::DOUBLE * c.weight::DOUBLE) AS dot
+         FROM dv q JOIN dv c ON q.bucket = c.bucket AND q.id % 20 = 0 AND q.id <> c.id GROUP BY 1, 2),
+sims AS (SELECT qid, dots.id, round(dot / (a.nrm * b.nrm), 9) AS sim FROM dots JOIN cn a ON a.id = qid JOIN cn b ON b.id = dots.id),
+top AS (SELECT qid, id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank
+        FROM sims WHERE sim >= {SIM_T})"""
+
+
+def _j4_docs(spark, sf):
+    v = SIM.as_vectors(doc_vectors(spark, sf), "doc_id", sparse=("indices", "values"))
+    return SIM.similar_pages(v.filter(F.col("id") % 20 == 0), v, SIM_K, SIM_T, exclude_self=True)
+
+
+@register("j4_similar_documents", f"""
+WITH {_J4_DOCS}
+SELECT qid, rank::BIGINT AS rank, id AS doc_id, round(sim, 4) AS similarity FROM top WHERE rank <= {SIM_K}""")
+def j4_similar_documents(spark, sf):
+    return _j4_docs(spark, sf).select("qid", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"),
+                                      F.round("similarity", 4).alias("similarity"))
+
+
+@register("j8_max_similarity_documents", f"""
+WITH {_J4_DOCS}
+SELECT qid, round(max(sim), 4) AS max_similarity,
+       CASE WHEN round(max(sim), 4) > 0.8 THEN 'High' WHEN round(max(sim), 4) > 0.7 THEN 'Moderate' END AS similarity_band,
+       (round(round(max(sim), 4) * 100, 1))::VARCHAR || '%' AS max_percent
+FROM top WHERE rank <= {SIM_K} GROUP BY qid""")
+def j8_max_similarity_documents(spark, sf):
+    r = _j4_docs(spark, sf).withColumn("similarity", F.round("similarity", 4))
+    g = r.groupBy("qid").agg(F.max("similarity").alias("max_similarity"))
+    return g.select("qid", "max_similarity", L.similarity_band("max_similarity").alias("similarity_band"),
+                    L.format_percent("max_similarity").alias("max_percent"))
+
+
 # --------------------------------------------------------------------- J7
 @register("j7_upper_triangle_stats", """
 SELECT count(*)::BIGINT AS n_pairs, round(avg(s), 6) AS mean_similarity, round(max(s), 6) AS max_similarity

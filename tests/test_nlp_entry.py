@@ -49,21 +49,92 @@ def test_entities(spark):
     assert top[0].n >= 1
 
 
-def test_read_write_csv_roundtrip(spark):
-    from contentlens.sources.readers import read_features, read_pages, write_table
+TRICKY = ['<p>x, "y"\nz</p>', "  padded, ", 'a ""quoted"" \\ back', "line\none,\n\ntwo", "plain"]
+
+
+def test_csv_round_trip_of_pages_and_content(spark):
+    from contentlens.sources.readers import read_content, read_pages, write_table
     d = tempfile.mkdtemp(prefix="cl-io-")
-    pages = spark.createDataFrame([("http://a", "<p>x, \"y\"\nz</p>")], "url string, html_content string")
-    pages.write.option("header", True).option("escape", '"').csv(f"{d}/pages")
-    back = read_pages(spark, f"{d}/pages")
-    assert back.first().html_content == "<p>x, \"y\"\nz</p>"
+    rows = [(f"http://{i}", t) for i, t in enumerate(TRICKY)]
+    write_table(spark.createDataFrame(rows, "url string, html_content string"), f"{d}/pages", fmt="csv")
+    assert {(r.url, r.html_content) for r in read_pages(spark, f"{d}/pages").collect()} == set(rows)
+    swapped = spark.createDataFrame([(t, u) for u, t in rows], "html_content string, url string")
+    write_table(swapped, f"{d}/swapped", fmt="csv")
+    assert {(r.url, r.html_content) for r in read_pages(spark, f"{d}/swapped").collect()} == set(rows)
+    write_table(spark.createDataFrame([("u", "h")], "foo string, bar string"), f"{d}/other", fmt="csv")
+    for wrong in ("other", "content"):
+        if wrong == "content":
+            write_table(spark.createDataFrame([(t,) for t in TRICKY], "body_text string"), f"{d}/content", fmt="csv")
+        with pytest.raises(ValueError):
+            read_pages(spark, f"{d}/{wrong}")
+    got = read_content(spark, f"{d}/content", fmt="csv")
+    assert sorted(r.body_text for r in got.collect()) == sorted(TRICKY)
+    with pytest.raises(ValueError):
+        read_content(spark, f"{d}/pages", fmt="csv")
+
+
+def test_features_survive_csv(spark):
+    from contentlens.plans.jobs import build_features
+    from contentlens.sources.readers import read_features, write_table
+    d = tempfile.mkdtemp(prefix="cl-feat-")
+    feats = build_features(spark.createDataFrame(
+        [(1, "alpha beta gamma, alpha!"), (2, ""), (3, "delta \"epsilon\" zeta eta")], "doc_id long, text string"))
+    write_table(feats, f"{d}/csv", fmt="csv")
+    write_table(feats, f"{d}/parquet")
+    a = {r.url: r for r in read_features(spark, f"{d}/csv", fmt="csv").collect()}
+    b = {r.url: r for r in read_features(spark, f"{d}/parquet").collect()}
+    assert set(a) == set(b) == {"doc:1", "doc:2", "doc:3"}
+    for u in a:
+        assert a[u].embedding == pytest.approx(b[u].embedding) and len(a[u].embedding) == 384
+        assert (a[u].word_count, a[u].sentence_count, a[u].flesch_reading_ease) == (
+            b[u].word_count, b[u].sentence_count, b[u].flesch_reading_ease)
+    write_table(feats.drop("word_count"), f"{d}/short", fmt="csv")
     with pytest.raises(ValueError):
-        read_pages(spark, f"{d}/pages", html_col="nope")
-    feats = spark.createDataFrame([("u", 3, 1, 50.0, ["a", "b"], [1.0, 2.5])],
-                                  "url string, word_count long, sentence_count long, flesch_reading_ease double, "
-                                  "top_keywords array<string>, embedding array<float>")
-    write_table(feats, f"{d}/features", fmt="csv")
-    f = read_features(spark, f"{d}/features", fmt="csv").first()
-    assert f.embedding == [1.0, 2.5] and f.top_keywords == ["a", "b"]
+        read_features(spark, f"{d}/short", fmt="csv")
+
+
+def test_end_to_end_from_csv(spark):
+    from contentlens.plans.jobs import run_end_to_end
+    from contentlens.sources.readers import read_pages, write_table
+    d = tempfile.mkdtemp(prefix="cl-e1csv-")
+    pages = spark.read.parquet(f"{SMOKE}/pages.parquet")
+    write_table(pages.select("url", pages.html.alias("html_content")), f"{d}/pages", fmt="csv")
+    out = run_end_to_end(read_pages(spark, f"{d}/pages"), num_trees=5, out_dir=f"{d}/out", id_col="row_id", html_col="html_content")
+    assert out["scored"].count() == pages.count()
+    groups = {r.rep: r.copies for r in out["copy_groups"].collect()}
+    members = out["copy_members"].collect()
+    assert {g: sum(m.rep == g for m in members) for g in groups} == groups
+    assert {r.feature for r in out["importances"].collect()} and out["importances"].agg(F.sum("importance")).first()[0] == pytest.approx(1)
+    assert out["confusion"].agg(F.sum("n")).first()[0] == out["scored"].filter("split = 'test'").count()
+    assert not spark._jsc.sc().getPersistentRDDs().size() or not any(df.is_cached for df in out.values() if hasattr(df, "is_cached"))
+
+
+def test_a_million_capitalised_words(spark):
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("Word"), 1_000_000), " ").alias("text"))
+    got = ENT.extract_entities(df).select(F.length("entity")).collect()
+    assert [r[0] for r in got] == [5 * 1_000_000 - 1]
+
+
+def test_a_replayed_epoch_changes_nothing(spark):
+    from contentlens.streaming.analyze import fit_corpus, write_epoch
+    d = tempfile.mkdtemp(prefix="cl-epoch-")
+    corpus = spark.read.parquet(f"{SMOKE}/documents.parquet")
+    pages = spark.read.parquet(f"{SMOKE}/pages.parquet").limit(8)
+    fitted = fit_corpus(corpus, f"{d}/corpus")
+    before = spark._jsc.sc().getPersistentRDDs().size()
+    for epoch in (0, 1, 1):
+        write_epoch(pages, epoch, f"{d}/sink", corpus, fitted=fitted)
+    assert spark.read.parquet(f"{d}/sink").groupBy("epoch").count().select("count").distinct().count() == 1
+    assert spark.read.parquet(f"{d}/sink").count() == 2 * spark.read.parquet(f"{d}/sink/epoch=0").count()
+    assert spark._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_load_model_raises_other_faults(spark):
+    from contentlens.sources.readers import load_model
+    d = tempfile.mkdtemp(prefix="cl-bad-")
+    assert load_model(f"{d}/none") is None
+    with pytest.raises(Exception):
+        load_model(d)
 
 
 def test_entry_and_contract(spark):
@@ -112,7 +183,7 @@ def test_end_to_end_writes_stages(spark):
     d = tempfile.mkdtemp(prefix="cl-e1-")
     pages = spark.read.parquet(f"{SMOKE}/pages.parquet")
     out = run_end_to_end(pages, num_trees=20, out_dir=d)
-    for name in ("extracted", "features", "pairs", "copy_groups", "summary", "scored", "metrics"):
+    for name in ("extracted", "features", "pairs", "copy_groups", "copy_members", "summary", "scored", "metrics", "confusion", "report", "importances"):
         assert os.path.isdir(f"{d}/{name}"), name
     assert os.path.isdir(f"{d}/model")
     # later stages read the written feature table, and every page is scored
