@@ -8,8 +8,6 @@ as a parameter).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # --- FIXED VALUES: English stopwords -------------------------------------
 # Spark MLlib's default English list, StopWordsRemover.loadDefaultStopWords
@@ -34,23 +32,6 @@ ENGLISH_STOPWORDS = (
 # --- FIXED VALUES: vowels for the syllable counter -------------------------
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"
 
-# --- FIXED VALUES: HTML named entities decoded natively (&amp; goes last) --
-HTML_ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-]
-
 # --- FIXED VALUES: lexicon sentiment constants (Hutto & Gilbert 2014) ------
 SENTIMENT_ALPHA = 15.0       # compound = s / sqrt(s*s + alpha)
 BOOSTER_INCREMENT = 0.293    # added (in the sign of the word) by a booster
@@ -112,25 +93,6 @@ SEED_GAZETTEER = [
 ]
 
 
-def stopwords_df(spark: SparkSession, words: list[str] | None = None) -> DataFrame:
-    rows = [(w,) for w in (words or ENGLISH_STOPWORDS)]
-    return spark.createDataFrame(rows, "word string")
-
-
-def lexicon_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEED_LEXICON, "term string, valence double")
-
-
-def gazetteer_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEED_GAZETTEER, "phrase string, type string")
-
-
-ENTITY_TYPES = T.StructType([
-    T.StructField("entity", T.StringType()),
-    T.StructField("type", T.StringType()),
-])
-
-
 def sql_string_list(values) -> str:
     """Render values as a SQL list literal body: 'a', 'b''s', ..."""
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from .resources import ENGLISH_STOPWORDS, VOWELS
 
 # --- FIXED VALUES: regular expressions shared with the SQL oracle ---------
-WS_RUN = r"\s+"
-WORD = r"\S+"
-SENTENCE = r"[^.!?\s][^.!?]*[.!?]*"
+# White space as Python's str methods know it (Unicode), spelt for Java and RE2 alike.
+SPACES = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+WS_RUN = f"[{SPACES}]+"
+WORD = f"[^{SPACES}]+"
+OUTER = f"^{WS_RUN}|{WS_RUN}$"
+SENTENCE = f"[^.!?{SPACES}][^.!?]*[.!?]*"
 TERM = r"[\p{L}\p{N}_]{2,}"
 VOWEL_GROUP = f"[{VOWELS}]+"
-VOWELLESS_TOKEN = rf"(?<!\S)[^\s{VOWELS}]+(?!\S)"
+VOWELLESS_TOKEN = rf"(?<![^{SPACES}])[^{SPACES}{VOWELS}]+(?![^{SPACES}])"
 
 
 def _col(c) -> Column:
@@ -31,7 +34,7 @@ def text_or_empty(c) -> Column:
 
 def strip_outer(c) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace of any kind."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), OUTER, "")
 
 
 def clean_whitespace(c) -> Column:

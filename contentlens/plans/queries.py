@@ -149,6 +149,17 @@ def x3_fallback_body(spark, sf):
         X.clean_whitespace(F.array_join(ps, " ")).alias("body_text"))
 
 
+# The article element made a container by its class; the twin takes the paragraphs inside it.
+_CONTAINED = "regexp_extract(regexp_replace(coalesce(html, ''), " + O.q(H.INVISIBLE) + ", '', 'g'), '(?is)<article>(.*?)</article>', 1)"
+
+
+@register("x2_container_body", f"""
+SELECT page_id, {O.body(_CONTAINED)} AS body_text FROM pages""")
+def x2_container_body(spark, sf):
+    contained = F.replace(F.col("html"), F.lit("<article>"), F.lit('<article class="main-content">'))
+    return table(spark, sf, "pages").select("page_id", H.dom_body(contained).alias("body_text"))
+
+
 @register("x15_html_unescape", f"""
 SELECT page_id, {O.decode(f"regexp_replace(regexp_replace(coalesce(html, ''), {O.q(H.INVISIBLE)}, '', 'g'), {O.q(H.TAG)}, '', 'g')")} AS visible_text
 FROM pages""")

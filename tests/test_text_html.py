@@ -118,3 +118,30 @@ def test_sentiment_label_and_url_percent(spark):
     assert [r.v for r in u.select(L.valid_url("u").alias("v")).collect()] == [True, True, False, False]
     p = spark.createDataFrame([(0.8305,), (1.0,)], "s double")
     assert [r.p for r in p.select(L.format_percent("s").alias("p")).collect()] == ["83.1%", "100.0%"]
+
+
+REFERENCES = ["caf&eacute; &#8217;s &#x1F600; &nbsp;x", "&amp;lt; &&lt; a & b &; &#; &bogus; &copy", "&#0; &#xD800; &#1114112; &#128; &#150;",
+              "", "no reference", "&lt;b&gt;&quot;&apos;&#39;&hellip;&mdash;&NotEqualTilde;"]
+
+
+def test_references_decode_as_the_standard_library_does(spark):
+    import html
+    from contentlens.functions.html import decode_entities
+    df = spark.createDataFrame(list(enumerate(REFERENCES)), "i int, t string")
+    got = {r.i: r.d for r in df.select("i", decode_entities("t").alias("d")).collect()}
+    for i, t in enumerate(REFERENCES):
+        want = html.unescape(t.replace("&copy", "&bogus2")) if t.endswith("&copy") else html.unescape(t)
+        assert got[i].replace("&copy", "&bogus2") == want, t
+
+
+def test_both_html_paths_give_one_text(spark):
+    from contentlens.operators.extract import parse_pages
+    inner = ["<p>it&#8217;s caf&eacute; a b</p>", "<p>x &amp; y<br>z</p><p>&lt;i&gt; <b>bold</b> </p>", "<p>one two\u0085three</p>",
+             "<!-- <p>no</p> --><p>yes</p><script>var a='<p>';</script><p>end</p>"]
+    rows = [(i, f"<html><head><!-- <title>old</title> --><title>new &Eacute;</title></head><body>{t}</body></html>",
+             f"<html><head><title>n</title></head><body><div class='content'>{t}</div></body></html>") for i, t in enumerate(inner)]
+    df = spark.createDataFrame(rows, "page_id int, a string, b string")
+    plain = parse_pages(df, "a", ("page_id",)).orderBy("page_id").collect()
+    held = parse_pages(df, "b", ("page_id",)).orderBy("page_id").collect()
+    assert [(r.body_text, r.word_count) for r in plain] == [(r.body_text, r.word_count) for r in held]
+    assert plain[0].word_count == 4 and {r.title for r in plain} == {"new É"}
