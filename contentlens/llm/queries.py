@@ -45,7 +45,7 @@ def op6(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-@query("op9_quality_rules")
+@query("op9_quality_rules", rules.ORACLE)
 def op9(spark, sf_dir):
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 

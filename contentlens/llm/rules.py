@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, free_name, split_remainder
+from .common import SPACE, cut, free_name
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -182,12 +182,12 @@ def select_cutoffs(judged: DataFrame, risk: float = RISK, error: float = ERROR,
 
 def fit_cutoffs(measured: DataFrame, names: dict[str, str], labels: DataFrame, id_col: str = "doc_id",
                 target: str = "quality") -> dict[tuple[int, str], int]:
-    """Cutoff bins by (stratum, rule), from all labelled documents outside the held-out part.
+    """Cutoff bins by (stratum, rule), certified on all labelled documents.
 
-    Of conflicting labels of one id the smaller holds; null ids and labels other than 0 and 1 take no
+    The rules are fixed beforehand and only cutoffs are chosen, so every labelled document is a holdout.  Of conflicting labels of one id the smaller holds; null ids and labels other than 0 and 1 take no
     part.  The driver receives at most strata * rules rows."""
     known = (labels.select(F.col(id_col).alias("_id"), F.col(target).cast("int").alias("_y"))
-             .filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & (split_remainder(F.col("_id")) != 2))
+             .filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
              .groupBy("_id").agg(F.min("_y").alias("_y")))
     m = {k: F.col(v) for k, v in names.items()}
     slim = measured.filter(~base_failed(m)).select(
@@ -225,3 +225,45 @@ def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     cutoffs = fit_cutoffs(held, names, labels, id_col)
     m = {k: F.col(v) for k, v in names.items()}
     return held.filter(kept(m, cutoffs)).drop(*names.values())
+
+
+def _oracle() -> str:
+    """DuckDB twin over ``documents`` and ``labels``: plain counts, and the binomial sum by its definition."""
+    values = {"symbols": "n_symbols, word_chars", "capitals": "n_capitals, word_chars", "marks": "n_marks, word_chars",
+              "dup_lines": "n_dup_lines, n_lines"}
+    bins = ", ".join(
+        "floor((CASE WHEN {1} > 0 THEN least({0}::DOUBLE / {1}, 1.0) ELSE 0.0 END) * {2})::INTEGER AS {3}".format(
+            *v.split(", "), GRID, k) for k, v in values.items())
+    long = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {r} AS bin, y FROM judged" for r in RULES)
+    band = " + ".join(f"(n_words >= {b})::INTEGER" for b in STRATA)
+    risk, error = RISK / len(RULES), ERROR / (len(RULES) * (len(STRATA) + 1))
+    rejected = " OR ".join(f"(rule = '{r}' AND {r} >= cutoff)" for r in RULES)
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT rid, i FROM win JOIN (SELECT rid, x FROM win GROUP BY rid, x HAVING count(*) > 1) USING (rid, x)),
+covered AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY rid),
+m AS (SELECT w.rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(covered.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(text, '[A-Z]')) AS n_capitals,
+             len(regexp_extract_all(text, '[!?]')) AS n_marks, len(lines) AS n_lines FROM w LEFT JOIN covered USING (rid)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, {band} AS stratum, {bins} FROM m),
+judged AS (SELECT f.*, y FROM f JOIN (SELECT doc_id, min(quality) AS y FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id)
+           USING (doc_id) WHERE NOT base_failed),
+tested AS (
+  SELECT stratum, rule, k, count(*) FILTER (WHERE y = 1) AS good, count(*) FILTER (WHERE y = 1 AND bin >= k) AS fr,
+         count(*) FILTER (WHERE y = 0 AND bin >= k) AS br
+  FROM ({long}), range(1, {GRID + 1}) AS g(k) GROUP BY ALL),
+proved AS (
+  SELECT *, bool_and(fr < good * {risk} AND list_sum(list_transform(range(0, fr + 1), lambda i: exp(lgamma(good + 1) - lgamma(i + 1)
+              - lgamma(good - i + 1) + i * ln({risk}) + (good - i) * ln(1 - {risk})))) <= {error})
+            OVER (PARTITION BY stratum, rule ORDER BY k DESC) AS ok, br - {GOOD_COST} * fr AS gain FROM tested),
+cuts AS (SELECT stratum, rule, arg_max(k, gain * {GRID + 1} + k) AS cutoff FROM proved WHERE ok AND gain > 0 GROUP BY ALL),
+out AS (SELECT DISTINCT rid FROM f JOIN cuts USING (stratum) WHERE {rejected})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rid NOT IN (SELECT rid FROM out) AS kept FROM f"""
+
+
+ORACLE = _oracle()
