@@ -268,6 +268,15 @@ def p14_by_quality_points(spark, sf):
             .select("doc_id", "word_count", "flesch_reading_ease"))
 
 
+@register("p14_by_predicted_quality")
+def p14_by_predicted_quality(spark, sf):
+    """P14 on the predicted class (the twin above checks the rule label; a model fit has no SQL form)."""
+    from ..operators import model as M
+    from .queries_jobs import _doc_model
+    scored = M.predict_quality(_doc_model(spark, sf), labelled_docs(spark, sf))
+    return scored.select("doc_id", "predicted_quality", "word_count", "flesch_reading_ease")
+
+
 @register("p9_has_content", f"""
 SELECT page_id, url, word_count FROM ({_x16_sql(False)}) WHERE body_text <> '' AND word_count > 0""")
 def p9_has_content(spark, sf):

@@ -128,6 +128,26 @@ def t11_top_entity_types(spark, sf):
     return ENT.top_entity_types(_entities(spark, sf), 10)
 
 
+# A gazetteer from the tables: the entity that opens a document names that document's language.
+_DERIVED = _ENTS.replace(f"FROM {_GAZ} GROUP BY 1", """FROM (SELECT ents[1] AS phrase, 'LANG ' || lang AS type
+      FROM e JOIN documents USING (doc_id) WHERE len(ents) > 0) GROUP BY 1""")
+
+
+def _derived_entities(spark, sf):
+    docs = table(spark, sf, "documents")
+    first = F.get(ENT.entity_candidates("text"), 0)
+    gaz = docs.filter(F.length("text") >= ENT.MIN_CHARS).select(
+        first.alias("phrase"), F.concat(F.lit("LANG "), F.col("lang")).alias("type")).filter("phrase IS NOT NULL")
+    return ENT.extract_entities(docs, gazetteer=gaz)
+
+
+@register("t11_entity_types_by_language", f"""
+WITH {_DERIVED}
+SELECT type, count(*)::BIGINT AS n FROM ent GROUP BY 1 ORDER BY n DESC, type LIMIT 10""")
+def t11_entity_types_by_language(spark, sf):
+    return ENT.top_entity_types(_derived_entities(spark, sf), 10)
+
+
 @register("t12_top_entities", f"""
 WITH {_ENTS}
 SELECT entity, count(*)::BIGINT AS n FROM ent GROUP BY 1 ORDER BY n DESC, entity LIMIT 15""")

@@ -11,6 +11,7 @@ from ..operators import extract as E
 from ..operators import similarity as SIM
 from ..operators import stats as S
 from . import oracle_sql as O
+from .queries_tfidf import _KW_DOCS
 from .registry import register, table
 
 DUP_T = 0.80        # reference threshold (text-derived vectors of `documents`)
@@ -307,18 +308,21 @@ def j7_upper_triangle_stats(spark, sf):
 
 # --------------------------------------------------------------------- T15
 @register("t15_build_features", f"""
-WITH {O.DOC_FEATURES}, {_t14_sql('documents', 'doc_id', 'text', 'd')},
-vs AS (SELECT id, count(*)::BIGINT AS nnz, round(sum(weight::DOUBLE), 6) AS vsum FROM dv GROUP BY 1)
+WITH {O.DOC_FEATURES}, {_t14_sql('documents', 'doc_id', 'text', 'd')}, {_KW_DOCS},
+rk AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, term) AS r FROM nw WHERE weight > 0),
+kw AS (SELECT doc_id, string_agg(term, ', ' ORDER BY r) AS top_keywords FROM rk WHERE r <= 5 GROUP BY 1),
+vs AS (SELECT id, string_agg(bucket::VARCHAR || ':' || round(weight::DOUBLE * 10000)::BIGINT::VARCHAR, ' ' ORDER BY bucket) AS cells
+       FROM dv GROUP BY 1)
 SELECT 'doc:' || f.doc_id::VARCHAR AS url, f.word_count, f.sentence_count, f.flesch_reading_ease,
-       coalesce(vs.nnz, 0)::BIGINT AS embedding_nnz, coalesce(vs.vsum, 0.0) AS embedding_sum
-FROM feat f LEFT JOIN vs ON vs.id = f.doc_id""")
+       coalesce(kw.top_keywords, '') AS top_keywords, coalesce(vs.cells, '') AS embedding_cells
+FROM feat f LEFT JOIN vs ON vs.id = f.doc_id LEFT JOIN kw ON kw.doc_id = f.doc_id""")
 def t15_build_features(spark, sf):
     from .jobs import build_features
     f = build_features(table(spark, sf, "documents"), id_col="doc_id", text_col="text")
+    cell = F.zip_with("embedding_indices", "embedding_values", lambda i, w: F.concat(
+        i.cast("string"), F.lit(":"), F.round(w.cast("double") * 10000).cast("long").cast("string")))
     return f.select("url", "word_count", "sentence_count", "flesch_reading_ease",
-                    F.size("embedding_indices").cast("long").alias("embedding_nnz"),
-                    F.round(F.aggregate("embedding_values", F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
-                    .alias("embedding_sum"))
+                    F.array_join("top_keywords", ", ").alias("top_keywords"), F.array_join(cell, " ").alias("embedding_cells"))
 
 
 from . import queries_model  # noqa: E402,F401
