@@ -5,7 +5,6 @@ Other families register from sibling modules imported at the bottom.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -13,6 +12,7 @@ from ..functions import labels as L
 from ..functions import text as X
 from ..operators import extract as E
 from ..operators import stats as S
+from ..operators.holding import hold
 from . import oracle_sql as O
 from .registry import register, table
 
@@ -333,7 +333,7 @@ LEFT JOIN (
     _hist_sql(c, 50) for c in FEATURE_COLS))
 def a4_histogram(spark, sf):
     # two passes per column (bounds, then counts) over one feature table
-    f = doc_features(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    f = hold(doc_features(spark, sf))
     out = None
     for c in FEATURE_COLS:
         h = S.histogram(f, c, 50)
@@ -362,7 +362,7 @@ FROM (SELECT q1, median, q3, q1 - 1.5 * (q3 - q1) AS lo_fence, q3 + 1.5 * (q3 -
 @register("a6_box_plot_stats", f"WITH {O.DOC_FEATURES}\n" + "\nUNION ALL\n".join(
     _box_sql(c) for c in FEATURE_COLS))
 def a6_box_plot_stats(spark, sf):
-    return S.box_plot_stats(doc_features(spark, sf).persist(StorageLevel.MEMORY_AND_DISK), FEATURE_COLS)
+    return S.box_plot_stats(hold(doc_features(spark, sf)), FEATURE_COLS)
 
 
 @register("a8_count_rows", """
