@@ -37,9 +37,11 @@ SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion promoted "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside complementary footer header masthead contentinfo "
     "comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification popup "
-    "modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar "
+    "alert alerts modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar "
     "pagination pager search form copyright legal disclaimer hidden".split())
-KEEP_WORDS = frozenset("article content main post entry story body text".split())
+#: Words that turn a name's meaning (with-sidebar, no-ads), and that make a header one of the article's own.
+TURNING = frozenset("with has no without".split())
+ARTICLE_WORDS = frozenset("article entry post story".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
@@ -132,8 +134,16 @@ def skipped(node: Node) -> bool:
     attrs = _attributes(node)
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
-    names = {w.lower() for k in ("class", "id", "role") for w in _WORD.findall(attrs.get(k, ""))}
-    return bool(names & SKIP_WORDS) and not names & KEEP_WORDS
+    return any(_names_no_text(token) for k in ("class", "id", "role") for token in attrs.get(k, "").split())
+
+
+def _names_no_text(token: str) -> bool:
+    """Whether one class, id or role names something beside the article."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    found = SKIP_WORDS.intersection([*words, "".join(words)])
+    if not found or TURNING.intersection(words):
+        return False
+    return found != {"header"} or not ARTICLE_WORDS.intersection(words)
 
 
 def _walk(root: Node) -> list[Node]:

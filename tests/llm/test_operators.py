@@ -332,6 +332,13 @@ def test_main_text_of_a_messy_page():
         "Second para, also long enough to count as article text here.", "cell one", "cell two"]
 
 
+@pytest.mark.parametrize("token,no_text", [
+    ("sidebar", 1), ("side-bar", 1), ("sideBar", 1), ("with-sidebar", 0), ("article-comments", 1), ("comment-body", 1), ("entry-header", 0),
+    ("page-header", 1), ("ad", 1), ("adapted", 0), ("main-content", 0), ("footer-text", 1), ("navbar", 1), ("story", 0), ("cookieNotice", 1)])
+def test_names_beside_the_article(token, no_text):
+    assert html_density._names_no_text(token) == bool(no_text)
+
+
 def test_pages_against_their_article_element(spark):
     import html
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
