@@ -30,7 +30,8 @@ TOXIC = 0.3
 BEGINNINGS = (3, 4, 5, 6, 7)
 MINED_VOTERS = 12    # mined words and mined beginnings are dealt to this many voters each
 MIN_DOCS = 4         # features of the classifier stand in at least so many sampled documents
-SCREEN = 18.0        # and have at least this likelihood ratio with the posteriors (and a toxic rate over a third)
+SCREEN = 18.0        # and have at least this likelihood ratio with the posteriors
+VOTER_RATE, FEATURE_RATE = 0.55, 0.4   # toxic share, in the corpus, of the texts that hold a mined voter's or classifier's feature
 STRONG, MILD = 30.0, 15.0   # likelihood ratios from which a word or beginning is mined for the voters
 L1 = 3e-4
 EPOCHS = 24
@@ -94,29 +95,32 @@ def feature_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _lift(toxic: np.ndarray, seen: np.ndarray, share: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """(share, toxic rate of each feature, likelihood ratio of a rate above the sample's share)."""
+def _lift(toxic: np.ndarray, seen: np.ndarray, share: float, balance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(share of toxic texts among those with a feature, likelihood ratio of a rate above the sample's share).
+
+    The first is brought from the balanced sample to the corpus: ``balance`` clean texts stand behind each sampled one
+    for every toxic text behind a sampled toxic one."""
     rate = np.clip(toxic / seen, 1e-9, 1 - 1e-9)
     g2 = 2 * seen * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
-    return share, rate, np.where(rate > share, g2, 0)
+    return rate / (rate + balance * (1 - rate)), np.where(rate > share, g2, 0)
 
 
 class Voters:
     """Votes from sets of feature hashes: 1 toxic, 0 clean, -1 abstains."""
 
-    def __init__(self, y: np.ndarray, sets: list[np.ndarray]):
+    def __init__(self, y: np.ndarray, sets: list[np.ndarray], balance: float = 1.0):
         self.lists = [_hash_words(v.split()) for v in SEED_LISTS.values()]
         every, inverse = np.unique(np.concatenate(sets), return_inverse=True)
         per = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         toxic = np.bincount(inverse, y[per] == 1, len(every))
         clean = np.bincount(inverse, y[per] == 0, len(every))
         n1, n0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
-        share, rate, g2 = _lift(toxic, toxic + clean, n1 / (n1 + n0))
-        told = np.flatnonzero((g2 >= STRONG) & (rate >= 1 - (1 - share) / 2))
+        rate, g2 = _lift(toxic, toxic + clean, n1 / (n1 + n0), balance)
+        told = np.flatnonzero((g2 >= STRONG) & (rate >= VOTER_RATE))
         told = told[np.argsort(-g2[told], kind="stable")]
         self.lists += [np.sort(every[told[k::MINED_VOTERS]]) for k in range(MINED_VOTERS)]
         self.strong = np.sort(every[told])
-        self.mild = np.sort(every[(g2 >= MILD) & (g2 < STRONG) & (rate > share * 2)])
+        self.mild = np.sort(every[(g2 >= MILD) & (g2 < STRONG) & (rate >= FEATURE_RATE)])
 
     def votes(self, sets: list[np.ndarray]) -> np.ndarray:
         """One row a text.  The lists vote toxic or abstain; the last three voters also vote clean."""
@@ -217,15 +221,15 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train_classifier(sets: list[np.ndarray], q: np.ndarray, prior_shift: float, seed: int = 11) -> Classifier:
+def train_classifier(sets: list[np.ndarray], q: np.ndarray, prior_shift: float, balance: float = 1.0, seed: int = 11) -> Classifier:
     """Logistic regression on soft labels by proximal stochastic gradient descent (L1, AdaGrad steps).
 
     Weights are kept at zero or above: words are evidence of toxicity or none, so a long clean text cannot
     outweigh an insult in it."""
     every, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     per = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    share, rate, g2 = _lift(np.bincount(inverse, q[per], len(every)), count, float(np.clip(q.mean(), 1e-6, 1 - 1e-6)))
-    often = np.flatnonzero((count >= MIN_DOCS) & (g2 >= SCREEN) & (rate >= (1 + share) / 3))
+    rate, g2 = _lift(np.bincount(inverse, q[per], len(every)), count, float(np.clip(q.mean(), 1e-6, 1 - 1e-6)), balance)
+    often = np.flatnonzero((count >= MIN_DOCS) & (g2 >= SCREEN) & (rate >= FEATURE_RATE))
     to = np.full(len(every), -1)
     to[often] = np.arange(len(often))
     ends = np.cumsum([0] + [len(s) for s in sets])
@@ -271,9 +275,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
     del got
     if len(set(y.tolist())) < 2:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(n1 / n0)))
-    posteriors = LabelModel(Voters(y, sets).votes(sets)).posteriors
-    sampled = np.log(max(1, (y == 1).sum()) / max(1, (y == 0).sum()))
-    return train_classifier(sets, posteriors, float(np.log(n1 / n0) - sampled))
+    sampled = max(1, (y == 1).sum()) / max(1, (y == 0).sum())
+    balance = float(n0 / n1 * sampled)
+    posteriors = LabelModel(Voters(y, sets, balance).votes(sets)).posteriors
+    return train_classifier(sets, posteriors, -float(np.log(balance)), balance)
 
 
 def score_documents(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
