@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.resources import ENGLISH_STOPWORDS, SEED_GAZETTEER
+from .stats import top_k
 
 # --- FIXED VALUES: candidate pattern and minimum text length -----------------
 CAPITALISED_RUN = r"\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*"
@@ -64,11 +65,11 @@ def extract_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def top_entity_types(entities: DataFrame, n: int = 10) -> DataFrame:
     """Most common types (ties by type)."""
     c = entities.groupBy("type").agg(F.count(F.lit(1)).cast("long").alias("n"))
-    return c.orderBy(F.desc("n"), F.asc("type")).limit(n)
+    return top_k(c, "n", n, "type")
 
 
 def top_entities(entities: DataFrame, n: int = 15) -> DataFrame:
     """Most common entity strings (ties by entity)."""
     c = entities.groupBy("entity").agg(F.count(F.lit(1)).cast("long").alias("n"))
-    return c.orderBy(F.desc("n"), F.asc("entity")).limit(n)
+    return top_k(c, "n", n, "entity")
 

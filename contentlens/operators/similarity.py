@@ -25,12 +25,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .holding import hold
-from .stats import attach_scalars
+from .stats import attach_scalars, top_k_per_group
 
 PAIR_SCHEMA = "id_1 long, id_2 long, similarity double"
 TOPK_SCHEMA = "qid long, id long, similarity double"
@@ -256,8 +256,7 @@ def similar_pages(queries: DataFrame, corpus: DataFrame, k: int = 5, threshold:
         return pd.DataFrame({"qid": q_ids[q[best]], "id": c_ids[c[best]], "similarity": sim[best]})
 
     cand = routed.groupBy("bq", "bc").applyInPandas(run, TOPK_SCHEMA)
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.asc("id"))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top_k_per_group(cand, "qid", "similarity", k, "id")
 
 
 def unit_sum_stats(v: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from .holding import hold
 def doc_term_vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      max_features: int = 1000, min_df=2, max_df=0.8, min_chars: int = 50):
     """(id, features) sparse count vectors plus the ordered vocabulary list."""
+    if max_features is None:
+        raise ValueError("max_features must be set: the vocabulary comes to the driver")
     _, vocab = T.count_vectorize(docs, id_col, text_col, max_features, min_df, max_df, min_chars)
     terms = [r["term"] for r in vocab.orderBy(F.desc("cnt"), F.asc("term")).select("term").collect()]
     sample = docs.filter(F.length(X.text_or_empty(text_col)) > min_chars)

@@ -136,6 +136,25 @@ def test_same_url_rows_are_separate(spark):
     assert SIM.pair_count(pairs, groups).first().duplicate_pairs == 1
 
 
+class _Lengths:
+    def encode(self, texts, batch_size=32):
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_pluggable_encoder(spark):
+    from contentlens.operators import embed as EM
+    docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r.embedding for r in EM.encode_with(docs, _Lengths, dim=2).collect()}
+    assert got == {1: [3.0, 1.0], 2: [0.0, 1.0]}
+
+
+def test_copies_rank_by_id_and_self_is_left_out(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(6)] + [(9, [2.0, -1.0])]
+    v = SIM.as_vectors(spark.createDataFrame(rows, "id long, vec array<float>"), "id", "vec")
+    got = SIM.similar_pages(v.filter("id in (0, 9)"), v, k=3, threshold=0.7, block_size=2, exclude_self=True).orderBy("rank").collect()
+    assert [(r.qid, r.id, r.rank) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
+
+
 def test_parse_embedding(spark):
     rows = [("[1.0, 2.5,-3]",), ("[1,\n 2]",), ("1,2",), ("[1,b]",), ("[]",), (None,)]
     df = spark.createDataFrame(rows, "s string")
