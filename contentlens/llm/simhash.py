@@ -156,7 +156,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADI
     name = free_name(docs, "_fp")
     held = cut(docs.withColumn(name, fingerprints(F.col(text_col), words)), "held")
     prints = held.select(F.col(id_col).alias("doc_id"), F.col(name).alias("fp"))
-    stay = (components(prints, radius).filter("fp = first_fp")
-            .select(F.col("fp").alias("_keep_fp"), F.col("component_id").alias("_keep_id")))
-    one = held.join(stay, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col(name) == F.col("_keep_fp")), "left_semi")
-    return one.dropDuplicates([id_col, name]).drop(name)
+    stay = components(prints, radius).filter("fp = first_fp").select("fp", F.col("component_id").alias("doc_id"))
+
+    def keyed(df: DataFrame, id_: str, fp: str) -> DataFrame:
+        # plain equal keys, so the join's partitioning also serves dropDuplicates and texts are shuffled once
+        return df.withColumns({keys[0]: F.coalesce(F.col(id_).cast("string"), F.lit("")), keys[1]: F.col(id_).isNull(), keys[2]: F.col(fp)})
+
+    keys = [free_name(docs, k) for k in ("_key_id", "_key_none", "_key_fp")]
+    one = keyed(held, id_col, name).join(keyed(stay, "doc_id", "fp").select(*keys), keys, "left_semi")
+    return one.dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
