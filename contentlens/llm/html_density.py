@@ -3,8 +3,10 @@
 For every node of the page's tree: C characters, T tags, LC characters inside links, LT link tags.
     density = C / T * ln(1 + C * T / (LC * LT)) / ln(C / (C - LC) * LC + (body's LC / body's C) * C + e),
 so much text in few tags scores high and link lists score low.  The density sum of a node is the sum of its children's
-densities.  The smallest density on the path from the body to the node of highest density sum is the threshold; among nodes
-not below it the one of greatest density sum is the content (grown to an enclosing article or main element).
+densities.  The smallest density on the path from the body to the node of highest density sum is the threshold.  The content is
+the enclosing article or main element of that node; without one, the highest node of the path with a further branch
+not below the threshold (or with text in links for at most a third, and a quarter of the node's characters a tag), so that
+sections side by side are taken together, without branches that are links for more than half.
 Its text is written block by block without the subtrees that are no article text by their tag, role or name.
 """
 
@@ -53,14 +55,17 @@ _SPACE = re.compile(r"\s+")
 
 #: The content grows to an enclosing element that states it is the article.
 ARTICLE = ("article", "main")
+#: A branch beside the densest node: text if links are at most 1 / LINK_POOR of it, and characters a tag 1 / THIN of that node's.
+LINK_POOR, THIN = 3, 4
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "parent", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
+    __slots__ = ("tag", "attrs", "parts", "parent", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "dropped")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.parts: list[Node | str] = []
+        self.dropped = False
 
 
 def tree(page: str) -> Node:
@@ -157,7 +162,7 @@ def _walk(root: Node) -> list[Node]:
 
 
 def content_node(root: Node) -> Node | None:
-    """The node of greatest density sum among those not below the path threshold; None without text."""
+    """The node that holds all of the content; None without text."""
     order = _walk(root)
     for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
@@ -187,11 +192,28 @@ def content_node(root: Node) -> Node | None:
         node.density_sum = sum(p.density for p in node.parts if not isinstance(p, str) and hasattr(p, "density"))
         node.density_sum += node.density if any(isinstance(p, str) and p.strip() for p in node.parts) else 0.0
     best = max(inside, key=lambda x: x.density_sum)
-    threshold, up = best.density, best
-    while up is not None and up is not body.parent:
-        threshold = min(threshold, up.density)
-        up = up.parent
-    return max((x for x in inside if x.density >= threshold), key=lambda x: x.density_sum)
+    path = [best]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    own = next((x for x in path if x.tag in ARTICLE), None)
+    if own is not None:
+        return own
+    threshold = min(x.density for x in path)
+    for node, taken in zip(reversed(path[1:]), reversed(path[:-1])):
+        beside = [p for p in node.parts if not isinstance(p, str) and p is not taken and hasattr(p, "density") and p.chars]
+        if any(_is_text(p, best, threshold) for p in beside):
+            for p in beside:
+                p.dropped = 2 * p.link_chars > p.chars
+            return node
+    return best
+
+
+def _is_text(node: Node, best: Node, threshold: float) -> bool:
+    """Whether a branch beside the densest node is content as well."""
+    if node.density >= threshold:
+        return True
+    return (LINK_POOR * node.link_chars <= node.chars
+            and THIN * node.chars * max(1, best.tags) >= best.chars * max(1, node.tags))
 
 
 def block_texts(node: Node) -> Iterator[str]:
@@ -213,7 +235,7 @@ def block_texts(node: Node) -> Iterator[str]:
             held.append(entities.unescape(part))
         elif part.tag == "br":
             held.append(" ")
-        elif not skipped(part):
+        elif not part.dropped and not skipped(part):
             block = part.tag in BLOCK
             if block:
                 yield from flush()
@@ -224,14 +246,8 @@ def block_texts(node: Node) -> Iterator[str]:
 
 def main_text(page: str) -> str:
     """Main text of one page, blocks joined by line ends; no text: empty."""
-    root = tree(page)
-    node = content_node(root)
-    if node is None:
-        return ""
-    up = node
-    while up is not None and up.tag not in ARTICLE:
-        up = up.parent
-    return "\n".join(block_texts(up if up is not None else node))
+    node = content_node(tree(page))
+    return "" if node is None else "\n".join(block_texts(node))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -357,6 +357,21 @@ def test_main_text_of_odd_pages(page, text):
     assert html_density.main_text(page) == text
 
 
+def _section(k, n=3):
+    return f"<h2>Part {k}</h2>" + "".join(f"<p>{(f'Part {k} paragraph {i} says something of use here. ') * (2 + (k + i) % 3)}</p>" for i in range(n))
+
+
+@pytest.mark.parametrize("tag", ["section", "div"])
+def test_all_sections_of_a_page_without_article(tag):
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>Another page {i}</a></li>" for i in range(9)) + "</ul></div>"
+    parts = [f"<{tag}>{_section(k, 5 - k % 3)}</{tag}>" for k in range(5)] + [f"<{tag}><h2>Last</h2><p>Short end.</p></{tag}>"]
+    for page in ("<body>" + links + "".join(parts) + "</body>", f"<body>{links}<div>{''.join(parts)}</div></body>"):
+        got = html_density.main_text(page)
+        assert all(f"Part {k}\n" in got for k in range(5)) and got.endswith("Last\nShort end.")
+        assert sum(f"paragraph {i} " in line for line in got.split("\n") for i in range(5)) == sum(5 - k % 3 for k in range(5))
+        assert "Another page" not in got
+
+
 # op9 ----------------------------------------------------------------------------------------
 
 def plain_measures(t):
