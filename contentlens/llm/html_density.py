@@ -34,13 +34,20 @@ SAME_GROUP = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
 GROUP_ROOT = frozenset("ul ol menu dl table body html div section article".split())
 #: Never article text: by element, and by whole words of class, id and role.
 SKIP = frozenset("script style noscript template nav header footer aside form button select option textarea input iframe "
-                 "object embed svg canvas math head title noembed noframes dialog menu label audio video map".split())
+                 "object embed svg canvas annotation annotation-xml head title noembed noframes dialog menu audio video map".split())
 SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion promoted "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside complementary footer header masthead contentinfo "
     "comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices notification popup "
     "alert alerts modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar "
     "pagination pager search form copyright legal disclaimer hidden".split())
+#: Of these, words that name a subject as well: they drop no dense block inside the content.
+SUBJECTS = frozenset(
+    "sponsor promotion discussion notice notices notification consent alert alerts share sharing social related recommended search "
+    "form copyright legal disclaimer".split())
+#: An id on any other element is an anchor.
+CONTAINERS = frozenset("center details div dl fieldset ol section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Words that turn a name's meaning (with-sidebar, no-ads), and that make a header one of the article's own.
 TURNING = frozenset("with has no without".split())
 ARTICLE_WORDS = frozenset("article entry post story".split())
@@ -60,12 +67,13 @@ LINK_POOR, THIN = 3, 4
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "parent", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "dropped")
+    __slots__ = ("tag", "attrs", "parts", "parent", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "dropped",
+                 "kept")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.parts: list[Node | str] = []
-        self.dropped = False
+        self.dropped = self.kept = False
 
 
 def tree(page: str) -> Node:
@@ -123,23 +131,36 @@ def _attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(node.attrs)} if node.attrs else {}
 
 
+def _within(node: Node, tags: tuple[str, ...]) -> bool:
+    up = node.parent
+    while up is not None and up.tag not in tags:
+        up = up.parent
+    return up is not None
+
+
 def skipped(node: Node) -> bool:
     """Whether a subtree is no article text by its element, role or names."""
+    if node.kept:
+        return False
     if node.tag in SKIP:
         # a heading block inside an article belongs to it
-        if node.tag == "header":
-            up = node.parent
-            while up is not None:
-                if up.tag in ("article", "main"):
-                    return False
-                up = up.parent
+        return node.tag != "header" or not _within(node, ARTICLE)
+    if node.tag == "label" and _within(node, ("form",)):
         return True
     if not node.attrs or node.tag in ("body", "html", "article", "main"):
         return False
     attrs = _attributes(node)
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
-    return any(_names_no_text(token) for k in ("class", "id", "role") for token in attrs.get(k, "").split())
+    return _hidden(attrs) or bool(_naming(node, attrs))
+
+
+def _hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "")
+
+
+def _naming(node: Node, attrs: dict[str, str]) -> list[tuple[str, str]]:
+    """The classes, ids and roles that name something beside the article; a heading's class and id name its subject."""
+    return [(k, token) for k in (("role",) if node.tag in HEADINGS else ("class", "id", "role"))
+            for token in attrs.get(k, "").split() if _names_no_text(token)]
 
 
 def _names_no_text(token: str) -> bool:
@@ -151,6 +172,12 @@ def _names_no_text(token: str) -> bool:
     return found != {"header"} or not ARTICLE_WORDS.intersection(words)
 
 
+def _names_subject(token: str) -> bool:
+    """Whether all that such a class or id names may be a subject of the article."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    return SKIP_WORDS.intersection([*words, "".join(words)]) <= SUBJECTS
+
+
 def _walk(root: Node) -> list[Node]:
     """All nodes that may hold article text, parents first."""
     order, todo = [], [root]
@@ -163,30 +190,15 @@ def _walk(root: Node) -> list[Node]:
 
 def content_node(root: Node) -> Node | None:
     """The node that holds all of the content; None without text."""
+    _open_most(root)
     order = _walk(root)
-    for node in reversed(order):
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
-        for p in node.parts:
-            if isinstance(p, str):
-                node.chars += len(_SPACE.sub("", p))
-            elif p.tag not in SKIP and hasattr(p, "chars"):
-                node.chars += p.chars
-                node.tags += p.tags + 1
-                node.link_chars += p.link_chars
-                node.link_tags += p.link_tags + (p.tag == "a")
-        if node.tag == "a":
-            node.link_chars = node.chars
+    _count(order)
     body = next((x for x in order if x.tag == "body"), root)
     if not body.chars:
         return None
     share = body.link_chars / body.chars
     for node in order:
-        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
-        if not c:
-            node.density = 0.0
-            continue
-        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-        node.density = max(0.0, c / t * math.log(c / max(1, lc) * t / lt + 1) / base)
+        _set_density(node, share)
     inside = [x for x in order if hasattr(x, "density")]
     for node in inside:
         node.density_sum = sum(p.density for p in node.parts if not isinstance(p, str) and hasattr(p, "density"))
@@ -195,10 +207,100 @@ def content_node(root: Node) -> Node | None:
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
+    threshold = min(x.density for x in path)
+    content = _holding_all(best, path, threshold)
+    _keep_blocks(content, best, threshold, share)
+    return content
+
+
+def _count(order: list[Node]) -> None:
+    """Characters and tags of each node, of ``order`` alone (parents first)."""
+    for node in reversed(order):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        for p in node.parts:
+            if isinstance(p, str):
+                node.chars += len(_SPACE.sub("", p))
+            elif (p.kept or p.tag not in SKIP) and hasattr(p, "chars"):
+                node.chars += p.chars
+                node.tags += p.tags + 1
+                node.link_chars += p.link_chars
+                node.link_tags += p.link_tags + (p.tag == "a")
+        if node.tag == "a":
+            node.link_chars = node.chars
+
+
+def _set_density(node: Node, share: float) -> None:
+    c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
+    if not c:
+        node.density = 0.0
+        return
+    base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+    node.density = max(0.0, c / t * math.log(c / max(1, lc) * t / lt + 1) / base)
+
+
+def _open_most(root: Node) -> None:
+    """Keep forms, and blocks named by subjects, that hold more than half of the page's text."""
+    order, todo, may_open = [], [root], []
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        for p in node.parts:
+            if isinstance(p, str):
+                continue
+            if skipped(p):
+                if not _may_open(p):
+                    continue
+                may_open.append(p)
+            todo.append(p)
+    if not may_open:
+        return
+    chars: dict[int, int] = {}
+    for node in reversed(order):
+        chars[id(node)] = sum(len(_SPACE.sub("", p)) if isinstance(p, str) else chars.get(id(p), 0) for p in node.parts)
+    body = next((x for x in order if x.tag == "body"), root)
+    for node in may_open:
+        node.kept = 2 * chars[id(node)] > chars[id(body)]
+
+
+def _may_open(node: Node) -> bool:
+    if node.tag in SKIP and node.tag != "form" or node.tag == "label":
+        return False
+    attrs = _attributes(node)
+    return not _hidden(attrs) and all(k != "role" and _names_subject(token) for k, token in _naming(node, attrs))
+
+
+def _keep_blocks(content: Node, best: Node, threshold: float, share: float) -> None:
+    """Keep blocks inside the content that only their names would drop, if they are text and not links."""
+    todo = [content]
+    while todo:
+        node = todo.pop()
+        for p in node.parts:
+            if isinstance(p, str) or p.dropped:
+                continue
+            if skipped(p):
+                if p.tag in SKIP or p.tag == "label":
+                    continue
+                attrs = _attributes(p)
+                naming = _naming(p, attrs)
+                subject = all(k != "role" and _names_subject(token) for k, token in naming)
+                anchor = content.tag == "article" and all(k == "id" for k, _ in naming)
+                if _hidden(attrs) or not (subject or anchor):
+                    continue
+                order = _walk(p)
+                _count(order)
+                _set_density(p, share)
+                if LINK_POOR * p.link_chars > p.chars or not (
+                        _is_text(p, best, threshold) or anchor and p.tag not in CONTAINERS
+                        or p.tag == "section" and any(x.tag in HEADINGS for x in order)):
+                    continue
+                p.kept = True
+            todo.append(p)
+
+
+def _holding_all(best: Node, path: list[Node], threshold: float) -> Node:
     own = next((x for x in path if x.tag in ARTICLE), None)
     if own is not None:
         return own
-    threshold = min(x.density for x in path)
     for node, taken in zip(reversed(path[1:]), reversed(path[:-1])):
         beside = [p for p in node.parts if not isinstance(p, str) and p is not taken and hasattr(p, "density") and p.chars]
         if any(_is_text(p, best, threshold) for p in beside):

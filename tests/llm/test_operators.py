@@ -372,6 +372,32 @@ def test_all_sections_of_a_page_without_article(tag):
         assert "Another page" not in got
 
 
+LINE = "Plain words about the matter at hand that go on for a while, as an article does. " * 4
+
+
+@pytest.mark.parametrize("inner,kept", [
+    ("<section id='discussion'><h2>Talk</h2><p>{}</p></section>", 1), ("<h2 id='related-work'>{}</h2>", 1),
+    ("<div id='comments'><p>{}</p></div>", 1), ("<div class='social-effects'><h3 class='search-methods'>Found</h3><p>{}</p></div>", 1),
+    ("<p>By <math><mi>{}</mi></math> and <label>so</label></p>", 1), ("<p>A <span id='legal-status'>{}</span></p>", 1),
+    ("<div class='comments'><p>{}</p></div>", 0), ("<div class='related'><a href=/x>{}</a></div>", 0), ("<div role='search'>{}</div>", 0),
+    ("<form><p>Your mail</p><label>{}</label><input></form>", 0), ("<div hidden id='discussion'><p>{}</p></div>", 0)])
+def test_names_inside_the_content(inner, kept):
+    mark = "The marked line is here. " + "It says a bit more than a few words. " * 6
+    for tag in ("article", "div"):
+        got = html_density.main_text(f"<body><{tag}><p>{LINE}</p>{inner.format(mark)}<p>{LINE}</p></{tag}></body>")
+        assert got.count(LINE.strip()) == 2
+        if tag == "article" or "'comments'" not in inner and "span" not in inner:
+            assert ("The marked line" in got) == bool(kept)
+    assert "<math>" not in inner or "so" in got.split("\n")[1].split()
+
+
+@pytest.mark.parametrize("head", ["<form id=f method=post>", "<div class='search form'>", "<div id='legal-notice'>"])
+def test_a_block_that_holds_the_page_is_entered(head):
+    page = f"<body>{head}<input type=hidden value=x><p>{LINE}</p><select><option>No</select><label>No</label><p>{LINE}</p></body>"
+    got = html_density.main_text(page)
+    assert got.count(LINE.strip()) == 2 and ("form id" not in head or "No" not in got.split())
+
+
 # op9 ----------------------------------------------------------------------------------------
 
 def plain_measures(t):
