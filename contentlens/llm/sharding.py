@@ -2,11 +2,13 @@
 
 Documents of equal text are linked.  Every document starts in a shard by the hash of its id.  Each round,
 Spark joins and aggregations count for every group how many members each shard holds; members outside the group's
-fullest shard ask to move there, and quotas grant the moves: a pair of shards may exchange as many rows as ask
-in both directions, and free room is shared among the rest. Requests are summed by pair and hash bucket,
-and whole buckets are granted while their running sum fits the quota.  Rounds end when nothing moves.  A group above a shard's capacity is dealt by
+fullest shard ask to move there (equal ones to a shard drawn anew each round, so that requests run all ways), and quotas grant
+the moves: pairs and longer cycles of shards exchange rows, and paths of requests end in free room. Requests are summed by pair and
+hash bucket, and whole buckets are granted while their running sum fits the quota.  A granted move leaves its group in one shard
+less, so rounds end: when nothing moves ``IDLE`` times in a row.  A group above a shard's capacity is dealt by
 hash into parts that fit one shard.  Then shards are made even: each keeps its first
-quota of rows, linked ones before single ones, and what is above goes to the holes of shards below theirs.
+quota of rows, large groups before small ones and those before single rows, and what is above goes to the holes of shards
+below theirs; a small group's rows are neighbours, so it goes whole but where a shard's quota or holes end.
 
 No task holds a shard or a group: places in a shard are counted by hash buckets (sizes summed, offsets
 added), and quotas by sums of buckets.
@@ -14,13 +16,16 @@ added), and quotas by sums of buckets.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 SHARDS = 40
-ROUNDS = 8
+SETTLING = 6          # times quotas are fitted to whole buckets
+IDLE = 4              # rounds without a move, each with ties drawn anew, that end the propagation
 BUCKETS = 256         # hash buckets of the requests of a pair of shards
 ROWS_A_BUCKET = 2000  # rows a numbering bucket holds on average
 OVERHEAD = 16
@@ -35,44 +40,95 @@ def _pick(values: list[int], at: Column) -> Column:
 
 
 def _quotas(asked: dict[tuple[int, int], int], free: list[int], shards: int) -> list[int]:
-    """Rows that may move from s to t, at s * shards + t: as many as come back, and a part of t's free room."""
-    swap = {(s, t): min(n, asked.get((t, s), 0)) for (s, t), n in asked.items()}
-    wish = [sum(n - swap[s, t] for (s, t), n in asked.items() if t == k) for k in range(shards)]
+    """Rows that may move from s to t, at s * shards + t, so that no load grows by more than its free room.
+
+    Requests are edges; a node ``shards`` stands for free room.  Pairs, then longer cycles, are granted their least edge."""
+    left: list[dict[int, int]] = [{} for _ in range(shards + 1)]
+    for (s, t), n in sorted(asked.items()):
+        left[s][t] = n
+        left[shards][s] = sum(asked.values()) + sum(free)
+    for t in range(shards):
+        if free[t]:
+            left[t][shards] = free[t]
     out = [0] * (shards * shards)
-    for (s, t), n in asked.items():
-        more = n - swap[s, t]
-        out[s * shards + t] = swap[s, t] + (min(more, free[t] * more // wish[t]) if more else 0)
+
+    def grant(cycle: list[int]) -> None:
+        edges = list(zip(cycle, [*cycle[1:], cycle[0]]))
+        n = min(left[s][t] for s, t in edges)
+        for s, t in edges:
+            if s < shards and t < shards:
+                out[s * shards + t] += n
+            left[s][t] -= n
+            if not left[s][t]:
+                del left[s][t]
+
+    for s in range(shards):
+        for t in range(s):
+            if t in left[s] and s in left[t]:
+                grant([s, t])
+    for start in range(shards):
+        walk = [start]
+        while walk:
+            at = walk[-1]
+            if not left[at]:  # on no cycle
+                walk.pop()
+                if walk:
+                    del left[walk[-1]][at]
+                continue
+            to = max(left[at], key=lambda t: (left[at][t], -t))
+            if to in walk:
+                cycle = walk[walk.index(to):]
+                grant(cycle)
+                del walk[walk.index(to) + 1:]
+            else:
+                walk.append(to)
     return out
 
 
-def propagate(linked: DataFrame, room: list[int], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(linked: DataFrame, room: list[int], shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """(doc_id, text_id, size, grp, shard): labels after balanced propagation.
 
     ``linked``: rows (.., grp, mark, shard) of documents in groups of two and more; ``room``: rows each shard may hold.
     Cells (group, shard) move whole; the driver sees one load a shard and one sum a pair of shards each round."""
     cells = cut(linked.groupBy("grp", "shard").agg(F.count("*").alias("n")).withColumn("home", F.col("shard")), "cells")
     idle = 0
-    for step in range(rounds):
+    for step in count() if rounds is None else range(rounds):
         loads = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         free = [max(0, room[s] - loads.get(s, 0)) for s in range(shards)]
         now = cells.groupBy("grp", "shard").agg(F.sum("n").alias("n"))
         # a group's target is its fullest shard, in every other round its fullest shard with room
         open_ = F.lit(True) if step % 2 == 0 else _pick(free, F.col("shard")) > 0
-        rank = F.struct(open_.alias("open"), F.col("n"), _hash(F.col("grp"), 1).alias("h"), F.col("shard"))
+        tie = _hash(F.concat_ws(" ", "grp", "shard", F.lit(step)), 1)
+        rank = F.struct(open_.alias("open"), F.col("n"), tie.alias("h"), F.col("shard"))
         target = now.groupBy("grp").agg(F.max(rank).alias("t"), F.count("*").alias("shards")).filter("shards > 1 AND t.open").select(
             "grp", F.col("t.shard").alias("target"), F.col("t.n").alias("there"))
-        asked = (now.join(target, "grp").filter("shard <> target AND n <= there")
-                 .withColumn("bucket", F.pmod(_hash(F.concat_ws(" ", "grp", "shard"), 2), F.lit(BUCKETS)).cast("int")))
+        asked = (now.join(target, "grp").filter("shard <> target" if step % 2 else "shard <> target AND n <= there")
+                 .withColumn("bucket", F.pmod(_hash(F.concat_ws(" ", "grp", "shard", F.lit(step)), 2), F.lit(BUCKETS)).cast("int"))
+                 # large cells first: they find room only while much is exchanged
+                 .withColumn("bucket", F.col("bucket") + BUCKETS * (63 - F.floor(F.log2("n"))).cast("int")))
         asked = cut(asked.select("grp", "shard", "target", "n", "bucket"), "asked")
-        quota = _quotas({(r["shard"], r["target"]): r["n"] for r in
-                         asked.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}, free, shards)
+        wish = {(r["shard"], r["target"]): r["n"] for r in asked.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}
+        if not wish and step % 2 == 0:  # every group is whole: its lesser shards would ask
+            break
+        quota = _quotas(wish, free, shards)
+        if not any(quota):
+            idle += 1
+            if idle == IDLE:
+                break
+            continue
         pair = F.col("shard") * shards + F.col("target")
+        asked = asked.filter(F.col("n") <= _pick(quota, pair))  # a cell above its quota would hold up all behind it
         sums = asked.groupBy("shard", "target", "bucket").agg(F.sum("n").alias("n"))
-        upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("shard", "target").orderBy("bucket")))
-        granted = upto.filter(F.col("upto") <= _pick(quota, pair)).groupBy("shard", "target").agg(F.max("bucket").alias("last"))
-        limits = {r["shard"] * shards + r["target"]: r["last"] for r in granted.collect()}  # one number a pair of shards
+        upto = cut(sums.withColumn("upto", F.sum("n").over(Window.partitionBy("shard", "target").orderBy("bucket"))), "upto")
+        for _ in range(SETTLING):  # whole buckets may stay under a quota; then what runs against them is taken back
+            fits = upto.filter(F.col("upto") <= _pick(quota, pair)).groupBy("shard", "target").agg(
+                F.max("bucket").alias("last"), F.max("upto").alias("n")).collect()  # one row a pair of shards
+            limits = {r["shard"] * shards + r["target"]: r["last"] for r in fits}
+            if sum(r["n"] for r in fits) == sum(quota):
+                break
+            quota = _quotas({(r["shard"], r["target"]): r["n"] for r in fits}, free, shards)
         idle = 0 if limits else idle + 1
-        if idle == 2:
+        if idle == IDLE:
             break
         if not limits:
             continue
@@ -85,19 +141,20 @@ def propagate(linked: DataFrame, room: list[int], shards: int = SHARDS, rounds:
 
 
 def _numbered(rows: DataFrame, n_rows: int, shards: int) -> DataFrame:
-    """``rows`` with ``place``: gapless from 0 within each shard, linked rows first, then by hash."""
+    """``rows`` with ``place``: gapless from 0 within each shard; large groups, small ones each in one run, single rows."""
     buckets = max(1, n_rows // (shards * ROWS_A_BUCKET))
-    keyed = rows.withColumn("bucket", F.pmod(F.col("mark"), F.lit(buckets)).cast("int"))
+    key = F.when(F.col("single") == 1, _hash(F.col("grp"), 5)).otherwise(F.col("mark"))
+    keyed = rows.withColumn("key", key).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
     sums = keyed.groupBy("shard", "single", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("single", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("shard", "single", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "single", "bucket").orderBy("mark", "doc_id", "text_id")
+    within = Window.partitionBy("shard", "single", "bucket").orderBy("key", "grp", "mark", "doc_id", "text_id")
     numbered = keyed.withColumn("at", F.row_number().over(within) - 1)
     return numbered.join(offsets, ["shard", "single", "bucket"]).withColumn("place", F.col("offset") + F.col("at")).drop(
-        "offset", "at", "bucket")
+        "offset", "at", "bucket", "key")
 
 
-def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id",
+def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null).
 
@@ -113,11 +170,12 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     capacity = max(1, n_rows // shards * 9 // 10)
     groups = slim.groupBy("text_id").agg(F.count("*").alias("members")).filter("members > 1")
     parts = F.ceil(F.col("members") / capacity)
-    tied = slim.join(groups, "text_id", "left").withColumn("single", F.when(F.col("members") > 1, 0).otherwise(1))
+    tied = slim.join(groups, "text_id", "left").withColumn(
+        "single", F.when(F.col("members") > min(ROWS_A_BUCKET, max(2, capacity // 10)), 0).when(F.col("members") > 1, 1).otherwise(2))
     tied = cut(tied.withColumn("grp", F.when(F.col("members") > 1, F.concat_ws(
         ":", "text_id", F.pmod(_hash(F.col("mark"), 4), parts).cast("string")))).drop("members"), "tied")
-    linked = propagate(tied.filter("single = 0"), quota, shards, rounds)
-    rows = cut(linked.select(*tied.columns).union(tied.filter("single = 1")), "labelled")
+    linked = propagate(tied.filter("single < 2"), quota, shards, rounds)
+    rows = cut(linked.select(*tied.columns).union(tied.filter("single = 2")), "labelled")
     placed = cut(_numbered(rows, n_rows, shards).select("doc_id", "size", "text_crc32", "shard", "place"), "placed")
 
     loads = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}

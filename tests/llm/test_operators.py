@@ -313,6 +313,33 @@ def test_a_group_above_capacity_fills_few_shards(spark):
     assert sum(n for _, n in of["same text"].most_common(5)) >= 240
 
 
+def _cut_groups(spark, rows, shards):
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=shards).collect()
+    sizes, of, text_of = collections.Counter(r.shard for r in got), collections.defaultdict(set), dict(rows)
+    assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    for r in got:
+        of[text_of[r.doc_id]].add(r.shard)
+    return sum(len(s) > 1 for t, s in of.items() if t != "same text")
+
+
+def test_pairs_beside_a_large_group_stay_whole(spark):
+    pairs = [(1000 + i, f"t{i // 2}") for i in range(600)]
+    assert _cut_groups(spark, pairs, 10) <= 10
+    assert _cut_groups(spark, [(i, "same text") for i in range(400)] + pairs, 10) <= 30
+
+
+def test_quotas_grant_cycles_and_free_room():
+    none = [0] * 4
+    assert sharding._quotas({(0, 1): 5, (1, 2): 3, (2, 0): 4}, none, 4) == [0, 3, 0, 0, 0, 0, 3, 0, 3, 0, 0, 0, 0, 0, 0, 0]
+    rng = random.Random(4)
+    for _ in range(50):
+        asked = {(s, t): rng.randint(1, 9) for s in range(4) for t in range(4) if s != t and rng.random() < 0.6}
+        free = [rng.choice((0, 0, 3)) for _ in range(4)]
+        q = sharding._quotas(asked, free, 4)
+        assert all(0 <= q[s * 4 + t] <= asked.get((s, t), 0) for s in range(4) for t in range(4))
+        assert all(sum(q[s * 4 + t] - q[t * 4 + s] for s in range(4)) <= free[t] for t in range(4))
+
+
 # op8 ----------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
