@@ -5,7 +5,7 @@ Spark joins and aggregations count for every group how many members each shard h
 fullest shard ask to move there (equal ones to a shard drawn anew each round, so that requests run all ways), and quotas grant
 the moves: pairs and longer cycles of shards exchange rows, and paths of requests end in free room. Requests are summed by pair and
 hash bucket, and whole buckets are granted while their running sum fits the quota.  A granted move leaves its group in one shard
-less, so rounds end: when nothing moves ``IDLE`` times in a row.  A group above a shard's capacity is dealt by
+less, so rounds end: when less than ``LEAST`` of the linked rows move ``IDLE`` times in a row.  A group above a shard's capacity is dealt by
 hash into parts that fit one shard.  Then shards are made even: each keeps its first
 quota of rows, large groups before small ones and those before single rows, and what is above goes to the holes of shards
 below theirs; a small group's rows are neighbours, so it goes whole but where a shard's quota or holes end.
@@ -18,14 +18,16 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 SHARDS = 40
 SETTLING = 6          # times quotas are fitted to whole buckets
-IDLE = 4              # rounds without a move, each with ties drawn anew, that end the propagation
+IDLE = 4              # rounds that move too little, each with ties drawn anew, that end the propagation
+LEAST = 0.003         # share of the linked rows that a round must move
 BUCKETS = 256         # hash buckets of the requests of a pair of shards
 ROWS_A_BUCKET = 2000  # rows a numbering bucket holds on average
 OVERHEAD = 16
@@ -36,7 +38,15 @@ def _hash(of: Column, seed: int) -> Column:
 
 
 def _pick(values: list[int], at: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), (at + 1).cast("int"))
+    """The number of a shard, from a short list: one text literal, as a literal a number takes the driver long to build."""
+    return F.element_at(F.split(F.lit(",".join(map(str, values))), ","), (at + 1).cast("int")).cast("long")
+
+
+def _of_pairs(spark: SparkSession, values: dict[tuple[int, int], int], name: str) -> DataFrame:
+    """(shard, target, name): one row a pair of shards, so at most ``shards`` squared, broadcast."""
+    columns = [[k[0] for k in values], [k[1] for k in values], list(values.values())]
+    return F.broadcast(spark.createDataFrame(pa.table(
+        [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["shard", "target", name])))
 
 
 def _quotas(asked: dict[tuple[int, int], int], free: list[int], shards: int) -> list[int]:
@@ -85,11 +95,16 @@ def _quotas(asked: dict[tuple[int, int], int], free: list[int], shards: int) ->
     return out
 
 
+def _pairs(flat: list[int], shards: int) -> dict[tuple[int, int], int]:
+    return {(k // shards, k % shards): n for k, n in enumerate(flat) if n}
+
+
 def propagate(linked: DataFrame, room: list[int], shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """(doc_id, text_id, size, grp, shard): labels after balanced propagation.
 
     ``linked``: rows (.., grp, mark, shard) of documents in groups of two and more; ``room``: rows each shard may hold.
     Cells (group, shard) move whole; the driver sees one load a shard and one sum a pair of shards each round."""
+    spark = linked.sparkSession
     cells = cut(linked.groupBy("grp", "shard").agg(F.count("*").alias("n")).withColumn("home", F.col("shard")), "cells")
     idle = 0
     for step in count() if rounds is None else range(rounds):
@@ -110,30 +125,33 @@ def propagate(linked: DataFrame, room: list[int], shards: int = SHARDS, rounds:
         wish = {(r["shard"], r["target"]): r["n"] for r in asked.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}
         if not wish and step % 2 == 0:  # every group is whole: its lesser shards would ask
             break
-        quota = _quotas(wish, free, shards)
-        if not any(quota):
-            idle += 1
-            if idle == IDLE:
-                break
-            continue
-        pair = F.col("shard") * shards + F.col("target")
-        asked = asked.filter(F.col("n") <= _pick(quota, pair))  # a cell above its quota would hold up all behind it
+        quota = _pairs(_quotas(wish, free, shards), shards)
+        # a cell above its quota would hold up all behind it
+        asked = asked.join(_of_pairs(spark, quota, "quota"), ["shard", "target"]).filter("n <= quota").drop("quota")
         sums = asked.groupBy("shard", "target", "bucket").agg(F.sum("n").alias("n"))
         upto = cut(sums.withColumn("upto", F.sum("n").over(Window.partitionBy("shard", "target").orderBy("bucket"))), "upto")
-        for _ in range(SETTLING):  # whole buckets may stay under a quota; then what runs against them is taken back
-            fits = upto.filter(F.col("upto") <= _pick(quota, pair)).groupBy("shard", "target").agg(
-                F.max("bucket").alias("last"), F.max("upto").alias("n")).collect()  # one row a pair of shards
-            limits = {r["shard"] * shards + r["target"]: r["last"] for r in fits}
-            if sum(r["n"] for r in fits) == sum(quota):
+        for settling in range(SETTLING + 1):  # whole buckets may stay under a quota; then what runs against them is taken back
+            fits = upto.join(_of_pairs(spark, quota, "quota"), ["shard", "target"]).filter("upto <= quota").groupBy(
+                "shard", "target").agg(F.max("bucket").alias("last"), F.max("upto").alias("n")).collect()  # one row a pair of shards
+            moved = sum(r["n"] for r in fits)
+            if moved == sum(quota.values()) or settling == SETTLING:
                 break
-            quota = _quotas({(r["shard"], r["target"]): r["n"] for r in fits}, free, shards)
-        idle = 0 if limits else idle + 1
+            granted = {(r["shard"], r["target"]): r["n"] for r in fits}
+            if settling < SETTLING - 1:
+                quota = _pairs(_quotas(granted, free, shards), shards)
+            else:  # not settled: into free room alone, which holds whatever part of it moves
+                quota, room_left = {}, list(free)
+                for (s, t), n in sorted(granted.items()):
+                    if n <= room_left[t]:
+                        quota[s, t] = n
+                        room_left[t] -= n
+        idle = idle + 1 if moved <= LEAST * sum(loads.values()) else 0
         if idle == IDLE:
             break
-        if not limits:
+        if not fits:
             continue
-        moves = asked.filter(F.col("bucket") <= _pick([limits.get(k, -1) for k in range(shards * shards)], pair)).select(
-            "grp", "shard", "target")
+        limits = _of_pairs(spark, {(r["shard"], r["target"]): r["last"] for r in fits}, "last")
+        moves = asked.join(limits, ["shard", "target"]).filter(F.col("bucket") <= F.col("last")).select("grp", "shard", "target")
         cells = cut(cells.join(moves, ["grp", "shard"], "left").select(
             "grp", "n", "home", F.coalesce("target", "shard").alias("shard")), "cells")
     moved = cells.filter("home <> shard").select("grp", F.col("home").alias("shard"), F.col("shard").alias("to"))
