@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, topk, toxicity
+from . import filter_audit, html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -74,3 +74,8 @@ def op7(spark, sf_dir):
 @query("op5_exact_top_k", topk.ORACLE)
 def op5(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_filter_audit", filter_audit.ORACLE)
+def op11(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
