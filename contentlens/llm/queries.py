@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, topk, toxicity
+from . import filter_audit, html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, topk, toxicity, vector_links
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -79,3 +79,8 @@ def op5(spark, sf_dir):
 @query("op11_filter_audit", filter_audit.ORACLE)
 def op11(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_embedding_near_dedup", vector_links.ORACLE)
+def op12(spark, sf_dir):
+    return vector_links.near_duplicates(table(spark, sf_dir, "embeddings"))
