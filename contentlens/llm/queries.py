@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, topk, toxicity, vector_links
+from . import filter_audit, html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, spelling, topk, toxicity, vector_links
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -84,3 +84,8 @@ def op11(spark, sf_dir):
 @query("op12_embedding_near_dedup", vector_links.ORACLE)
 def op12(spark, sf_dir):
     return vector_links.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
