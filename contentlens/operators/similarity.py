@@ -151,7 +151,7 @@ def collapse_copies(v: DataFrame) -> DataFrame:
 
 
 def duplicate_pairs(v: DataFrame, threshold: float = 0.80, empty_policy: str = "match",
-                    block_size: int = 2048) -> tuple[DataFrame, DataFrame]:
+                    block_size: int = 2048, recall: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate pairs (cosine strictly above ``threshold``), complete at every table size.
 
     Returns ``(pairs, copy_groups)``:
@@ -163,6 +163,9 @@ def duplicate_pairs(v: DataFrame, threshold: float = 0.80, empty_policy: str = "
                    other, as the reference's encoder made them) and dropped
                    with ``'drop'``.
     ``copy_members`` names the rows of every group.
+
+    With ``recall`` the pairs come from hashed candidates (``candidates.candidate_pairs``): below quadratic, each
+    pair verified and found with that probability at least; without it every pair is found.
     """
     if empty_policy not in ("match", "drop"):
         raise ValueError("empty_policy must be 'match' or 'drop'")
@@ -170,7 +173,11 @@ def duplicate_pairs(v: DataFrame, threshold: float = 0.80, empty_policy: str = "
     # Read three times (block count, pair search, copy counts): keep it.
     groups = hold(collapse_copies(v))
     reps = groups.filter(~F.col("is_zero")).select(F.col("rep").alias("id"), *_payload_cols(sparse))
-    pairs = block_pairs(reps, threshold, block_size)
+    if recall is None:
+        pairs = block_pairs(reps, threshold, block_size)
+    else:
+        from .candidates import candidate_pairs
+        pairs = candidate_pairs(reps, threshold, recall)
     cnt = groups.select(F.col("rep"), F.col("copies"))
     pairs = (pairs.join(cnt.withColumnRenamed("rep", "id_1").withColumnRenamed("copies", "copies_1"), "id_1")
              .join(cnt.withColumnRenamed("rep", "id_2").withColumnRenamed("copies", "copies_2"), "id_2")

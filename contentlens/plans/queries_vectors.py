@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import vectors as V
+from ..operators import cells as CELLS
 from ..operators import embed as EM
 from ..operators import extract as E
 from ..operators import similarity as SIM
@@ -145,6 +146,14 @@ def j3_duplicate_pairs_documents(spark, sf):
                       "word_count_1", "word_count_2", "copies_1", "copies_2")
 
 
+@register("j3_candidate_pairs_documents")
+def j3_candidate_pairs_documents(spark, sf):
+    """Pairs by hashed candidates: a subset of ``j3_duplicate_pairs_documents`` of the stated recall, so without a twin."""
+    v = SIM.as_vectors(doc_vectors(spark, sf), "doc_id", sparse=("indices", "values"))
+    pairs, _ = SIM.duplicate_pairs(v, DUP_T, recall=0.95)
+    return pairs.select("id_1", "id_2", F.round("similarity", 4).alias("similarity"), "copies_1", "copies_2")
+
+
 @register("j3_copy_groups_documents", f"""
 WITH {_DOC_PAIRS}
 SELECT rep, copies, len(v) = 0 AS is_zero, 1.0::DOUBLE AS similarity FROM dg WHERE copies >= 2""")
@@ -268,11 +277,32 @@ top AS (SELECT qid, id, sim, row_number() OVER (PARTITION BY qid ORDER BY sim DE
         FROM sims WHERE sim >= {SIM_T})"""
 
 
+def _j4_cells(spark, sf):
+    v = SIM.as_vectors(doc_vectors(spark, sf), "doc_id", sparse=("indices", "values"))
+    index = CELLS.build_cells(v)
+    return CELLS.search_cells(index.rows.filter(F.col("id") % 20 == 0).drop("cell", "angle"), index, SIM_K, SIM_T, exclude_self=True)
+
+
 def _j4_docs(spark, sf):
     v = SIM.as_vectors(doc_vectors(spark, sf), "doc_id", sparse=("indices", "values"))
     return SIM.similar_pages(v.filter(F.col("id") % 20 == 0), v, SIM_K, SIM_T, exclude_self=True)
 
 
+@register("j4_cell_search_documents", f"""
+WITH {_J4_DOCS}
+SELECT qid, rank::BIGINT AS rank, id AS doc_id, round(sim, 4) AS similarity FROM top WHERE rank <= {SIM_K}""")
+def j4_cell_search_documents(spark, sf):
+    """``j4_similar_documents`` through the index: the same rows."""
+    return _j4_cells(spark, sf)[0].select("qid", F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"),
+                                          F.round("similarity", 4).alias("similarity"))
+
+
+@register("j4_cells_visited_documents")
+def j4_cells_visited_documents(spark, sf):
+    """Cells of the index that each query reads, of all that hold rows; depends on the centres, so without a twin."""
+    return _j4_cells(spark, sf)[1]
+
+
 @register("j4_similar_documents", f"""
 WITH {_J4_DOCS}
 SELECT qid, rank::BIGINT AS rank, id AS doc_id, round(sim, 4) AS similarity FROM top WHERE rank <= {SIM_K}""")
