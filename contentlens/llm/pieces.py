@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie (after Aoe 1989, Kudo 2018).
 
 The vocabulary (pieces, scores, kinds) is read from a SentencePiece model file on the driver and shipped
-to the tasks as arrays.  The best segmentation of a text is the one of the highest sum of piece scores; a
+to the tasks as arrays; scores of a file that holds merge ranks are estimated anew (``piece_scores.estimate``).  The best segmentation of a text is the one of the highest sum of piece scores; a
 character that no piece matches costs the lowest score less ten and is written as its UTF-8 bytes
 (byte fallback).  Spaces become the marker U+2581 and a text starts with one; decoding turns markers back and drops the first.
 A marker character in the text itself is written as bytes, so that decoding gives every text back exactly.
@@ -140,6 +140,7 @@ class Codec:
         trie = DoubleArray(words)
         self._arrays = (trie.base, trie.check, trie.value)
         self.scores = v.scores
+        self.scored_ids = sorted(words.values())
         scored = [v.scores[i] for i in words.values()]
         self.unknown = min(scored, default=0.0) - UNKNOWN_PENALTY
         self.text = [p.replace(mark, b" ") if k in (NORMAL, USER, UNUSED) else p if k == BYTE else b""
@@ -149,7 +150,10 @@ class Codec:
         self._line_alone = "\n" not in held
         self._ready = False
 
-    def _prepare(self) -> None:
+    def prepare(self) -> None:
+        """Make the tables of a task; done once."""
+        if self._ready:
+            return
         pad = np.full(256, -1, np.int32)  # so that base + byte never leaves the arrays
         self._np = [np.concatenate((a, pad)) for a in self._arrays] + [np.array(self.scores)]
         self._base, self._check, self._value = (a.tolist() for a in self._np[:3])
@@ -201,6 +205,35 @@ class Codec:
         out.reverse()
         return out
 
+    def words_of(self, text: str) -> list[str]:
+        """Marker-led words of a text whose spaces are markers."""
+        return self._words.findall(text)
+
+    def edges(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, start, end, piece) of every piece that fits somewhere in short words; piece -1: a character that none matches."""
+        base, check, value, _ = self._np
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        size = int(lens.max())
+        data = np.frombuffer(b"".join(w.ljust(size, b"\0") for w in words), np.uint8).reshape(-1, size).astype(np.int64)
+        step = np.where(data < 0x80, 1, np.where(data < 0xE0, 2, np.where(data < 0xF0, 3, 4)))
+        found = []
+        for at in range(size):
+            rows = np.flatnonzero((lens > at) & ((data[:, at] & 0xC0) != 0x80))
+            alone = np.ones(len(words), bool)
+            act, node, i = rows, np.zeros(len(rows), np.int32), at
+            while len(act) and i < size:
+                child = base[node] + data[act, i]
+                ok = (check[child] == node) & (i < lens[act])
+                act, node = act[ok], child[ok].astype(np.int32)
+                i += 1
+                ends = value[node] >= 0
+                r = act[ends]
+                alone[r[step[r, at] == i - at]] = False
+                found.append((r, np.full(len(r), at), np.full(len(r), i), value[node][ends].astype(np.int64)))
+            left = rows[alone[rows]]
+            found.append((left, np.full(len(left), at), at + step[left, at], np.full(len(left), -1)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def best_paths(self, words: list[bytes]) -> list[bytes]:
         """``best_path`` of many short words side by side; ids as packed int32."""
         base, check, value, scores = self._np
@@ -269,8 +302,7 @@ class Codec:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids (int32) of each text; the empty text has none."""
-        if not self._ready:
-            self._prepare()
+        self.prepare()
         split: list[list[str]] = []
         for text in texts:
             words: list[str] = []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, spelling, topk, toxicity, vector_links
+from . import filter_audit, html_density, licenses, mixing, piece_scores, pieces, quality_embed, rules, sharding, simhash, spelling, topk, toxicity, vector_links
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -36,8 +36,9 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 @query("op10_sentencepiece_codec")
 def op10(spark, sf_dir):
-    codec = pieces.Codec(pieces.Vocabulary.read(PIECE_MODEL))
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), codec)
+    docs = table(spark, sf_dir, "documents")
+    vocabulary, _ = piece_scores.estimate(docs, pieces.Vocabulary.read(PIECE_MODEL))
+    return pieces.encode_documents(docs, pieces.Codec(vocabulary))
 
 
 @query("op6_mix_sources", mixing.ORACLE)

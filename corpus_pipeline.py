@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contentlens.llm import mixing, pieces, quality_embed, rules, simhash
+from contentlens.llm import mixing, piece_scores, pieces, quality_embed, rules, simhash
 from contentlens.llm.common import cut, table
 from contentlens.llm.queries import PIECE_MODEL
 
@@ -33,7 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_codes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(docs, pieces.Codec(pieces.Vocabulary.read(PIECE_MODEL)))
+    """Codes by piece probabilities of the texts that are encoded."""
+    vocabulary, _ = piece_scores.estimate(docs, pieces.Vocabulary.read(PIECE_MODEL))
+    return pieces.encode_documents(docs, pieces.Codec(vocabulary))
 
 
 STAGES = [

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 import __spark_entry__ as entry
-from contentlens.llm import (html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, topk,
+from contentlens.llm import (html_density, licenses, mixing, piece_scores, pieces, quality_embed, rules, sharding, simhash, topk,
                              toxicity)
 from contentlens.llm.common import connected_components
 from contentlens.llm.queries import PIECE_MODEL
@@ -482,41 +482,103 @@ def codec():
     return pieces.Codec(pieces.Vocabulary.read(PIECE_MODEL))
 
 
-def _as_unigram(path):
-    """The model file with its type set to unigram, for the public library."""
-    def number(n):
-        out = b""
-        while True:
-            out += bytes([(n & 127) | (128 if n > 127 else 0)])
-            n >>= 7
-            if not n:
-                return out
-
-    def write(fields):
-        return b"".join(number(f << 3 | k) + (number(v) if k == 0 else number(len(v)) + v if k == 2 else v) for f, k, v in fields)
-    data = open(path, "rb").read()
-    out = []
-    for f, k, v in pieces._fields(data):
-        if f == 2:
-            v = write((g, kk, 1 if g == 3 else vv) for g, kk, vv in pieces._fields(v))
-        out.append((f, k, v))
-    return write(out)
-
-
-def test_codes_equal_the_public_library_and_come_back(codec, texts):
-    import sentencepiece
-    lib = sentencepiece.SentencePieceProcessor(model_proto=_as_unigram(PIECE_MODEL))
-    vocab = pieces.Vocabulary.read(PIECE_MODEL)
-    odd = ["", " ", "  a  b ", "\n\n x\t\r", "日本語 𝔘 é", "a" * 300, "x" * 47 + "é" * 30, "\0\x07", "▁a ▁", "word " * 400]
-    # the library adds scores in single precision, so long texts may differ: words are compared one by one
-    for w in {w for t in texts.values() for w in words(t)[:200]}:
-        assert codec.encode(w).tolist() == lib.encode(w), w
-    for t in [*texts.values(), *odd]:
-        ids = codec.encode(t)
-        assert codec.decode(ids.tolist()) == t
-        if "▁" not in t:
-            total = lambda x: sum(vocab.scores[i] if vocab.kinds[i] == pieces.NORMAL else 0 for i in x)
-            assert total(ids.tolist()) >= total(lib.encode(t)) - 1e-6
+def _all_paths(word, held, unknown):
+    """Every segmentation of a short word as (score, ids), by recursion."""
+    if not word:
+        return [(0.0, ())]
+    out, first = [], len(word.decode()[0].encode())
+    for end in range(1, len(word) + 1):
+        if word[:end] in held:
+            i, score = held[word[:end]]
+            out += [(score + s, (i, *ids)) for s, ids in _all_paths(word[end:], held, unknown)]
+    if word[:first] not in held:
+        out += [(unknown + s, (*(("byte", c) for c in word[:first]), *ids)) for s, ids in _all_paths(word[first:], held, unknown)]
+    return out
+
+
+def _held(vocabulary):
+    held = {}
+    for i, (p, k) in enumerate(zip(vocabulary.pieces, vocabulary.kinds)):
+        if k in (pieces.NORMAL, pieces.USER, pieces.UNUSED) and p:
+            held.setdefault(p, (i, vocabulary.scores[i]))
+    return held
+
+
+@pytest.fixture(scope="module")
+def estimated(docs):
+    return piece_scores.estimate(docs, pieces.Vocabulary.read(PIECE_MODEL))
+
+
+def test_likelihood_rises_and_scores_are_log_probabilities(estimated):
+    vocabulary, likelihoods = estimated
+    assert len(likelihoods) == piece_scores.ROUNDS + 1 and all(a < b for a, b in itertools.pairwise(likelihoods))
+    total = sum(math.exp(s) for _, s in _held(vocabulary).values())
+    assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_expected_counts_against_all_segmentations(docs, texts):
+    vocabulary = pieces.Vocabulary.read(PIECE_MODEL)
+    rng = random.Random(12)
+    held = _held(vocabulary)
+    vocabulary.scores = [math.log(rng.uniform(1e-5, 1e-2)) for _ in vocabulary.scores]
+    held = {p: (i, vocabulary.scores[i]) for p, (i, _) in held.items()}
+    some = sorted({w for t in texts.values() for w in words(t)[:30] if len(w.encode()) < 9})[:120] + ["𝔘x", "é語a"]
+    made, n = [("▁" + w).encode() for w in some], np.array([rng.randint(1, 9) for _ in some], float)
+    codec = pieces.Codec(vocabulary)
+    codec.prepare()
+    prob = np.concatenate(([math.exp(codec.unknown)], np.exp(vocabulary.scores)))
+    word, start, end, piece = codec.edges(made)
+    code = (piece + 1) * piece_scores.EDGE ** 2 + start * piece_scores.EDGE + end
+    got, log = piece_scores.expected(np.array([len(w) for w in made]), n, word, code, prob)
+    want, likelihood = collections.Counter(), 0.0
+    for w, c in zip(made, n):
+        paths = _all_paths(w, held, codec.unknown)
+        total = sum(math.exp(s) for s, _ in paths)
+        likelihood += c * math.log(total)
+        for s, ids in paths:
+            for i in ids:
+                if not isinstance(i, tuple):
+                    want[i + 1] += c * math.exp(s) / total
+    assert log == pytest.approx(likelihood)
+    assert all(got[i] == pytest.approx(want[i]) for i in range(1, len(got)))
+
+
+def test_word_counts_cover_all_texts(spark, codec):
+    rows = [(1, "a b  a\nb"), (2, None), (3, ""), (4, "x▁y " + "z" * 100), (5, "é" * 40)]
+    got = {r.word.decode(): r.n for r in piece_scores.word_counts(spark.createDataFrame(rows, "doc_id long, text string"), codec).collect()}
+    want = collections.Counter()
+    for _, t in rows:
+        for token in (t or "").split(" ") if t else ():
+            for i, part in enumerate(token.split("▁")):
+                for w in re.findall("▁*[^▁\n]+|▁+|\n", part if i else "▁" + part):
+                    want.update(c.decode() for c in piece_scores._chunks(w.encode()))
+    assert got == dict(want) and "".join(w for w in got).count("z") == 100
+
+
+def test_codes_are_the_best_of_all_segmentations_and_come_back(estimated, texts):
+    vocabulary, _ = estimated
+    codec, held = pieces.Codec(vocabulary), _held(vocabulary)
+    for w in sorted({w for t in texts.values() for w in words(t)[:60] if len(w.encode()) < 11})[:400]:
+        data = ("▁" + w).encode()
+        best = max(s for s, _ in _all_paths(data, held, codec.unknown))
+        ids = codec.encode(w).tolist()
+        at, total = 0, 0.0
+        while at < len(ids):
+            if vocabulary.kinds[ids[at]] == pieces.BYTE:
+                run = next(k for k in range(1, 5) if k == 4 or _complete(bytes(vocabulary.pieces[i][0] for i in ids[at:at + k])))
+                total, at = total + codec.unknown, at + run
+            else:
+                total, at = total + vocabulary.scores[ids[at]], at + 1
+        assert total == pytest.approx(best, abs=1e-9), w
+    for t in [*texts.values(), "", " ", "  a  b ", "\n\n x\t\r", "日本語 𝔘 é", "a" * 300, "x" * 47 + "é" * 30, "\0\x07", "▁a ▁", "word " * 400]:
+        assert codec.decode(codec.encode(t).tolist()) == t
+
+
+def _complete(data):
+    try:
+        return len(data.decode()) == 1
+    except UnicodeDecodeError:
+        return False
 
 
 def test_side_by_side_paths_equal_single_ones(codec):
