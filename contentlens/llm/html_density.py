@@ -4,7 +4,9 @@ For every node of the page's tree: C characters, T tags, LC characters inside li
     density = C / T * ln(1 + C * T / (LC * LT)) / ln(C / (C - LC) * LC + (body's LC / body's C) * C + e),
 so much text in few tags scores high and link lists score low.  The density sum of a node is the sum of its children's
 densities.  The smallest density on the path from the body to the node of highest density sum is the threshold.  The content is
-the enclosing article or main element of that node; without one, the highest node of the path with a further branch
+the enclosing article or main element of that node, with all other articles of the page that reach the threshold and are no
+teasers (headed by a link); articles within an article that has text of its own, or within a block named as responses, are reader
+comments.  Without an article, the highest node of the path with a further branch
 not below the threshold (or with text in links for at most a third, and a quarter of the node's characters a tag), so that
 sections side by side are taken together, without branches that are links for more than half.
 Its text is written block by block without the subtrees that are no article text by their tag, role or name.
@@ -48,37 +50,49 @@ SUBJECTS = frozenset(
 #: An id on any other element is an anchor.
 CONTAINERS = frozenset("center details div dl fieldset ol section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Names of blocks of reader comments where they hold articles, and of quotations from the article in an aside.
+RESPONSES = frozenset("response responses remark remarks feedback thread talkback".split())
+QUOTES = frozenset("pullquote quote quotation pull".split())
+FIGURES = frozenset("figure figcaption blockquote".split())
 #: Words that turn a name's meaning (with-sidebar, no-ads), and that make a header one of the article's own.
 TURNING = frozenset("with has no without".split())
 ARTICLE_WORDS = frozenset("article entry post story".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-                  r"|<([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+                  r"|<([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+                  r"|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)  # last: a quote that nothing closes ends with its tag
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
+_MAY_RESPOND = re.compile("respon|remark|feedback|thread|talkback", re.I)
 
 
 #: The content grows to an enclosing element that states it is the article.
 ARTICLE = ("article", "main")
 #: A branch beside the densest node: text if links are at most 1 / LINK_POOR of it, and characters a tag 1 / THIN of that node's.
 LINK_POOR, THIN = 3, 4
+#: Characters beside headings and inner articles from which an article has text of its own.
+OWN_TEXT = 80
 
 
 class Node:
     __slots__ = ("tag", "attrs", "parts", "parent", "chars", "tags", "link_chars", "link_tags", "density", "density_sum", "dropped",
-                 "kept")
+                 "kept", "article", "responses", "reply")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.parts: list[Node | str] = []
-        self.dropped = self.kept = False
+        self.dropped = self.kept = self.reply = False
+        # the outermost article and the nearest block named as responses around this node
+        self.article = parent and (parent.article or (parent if parent.tag == "article" else None))
+        self.responses = parent and (parent if parent.attrs and _names_responses(parent) else parent.responses)
 
 
 def tree(page: str) -> Node:
     """Elements and texts in page order; unclosed and misplaced tags are mended as browsers mostly do."""
     root = at = Node("#root", "", None)
+    articles: list[Node] = []
     pos, n = 0, len(page)
     while pos < n:
         m = _TAG.search(page, pos)
@@ -88,7 +102,7 @@ def tree(page: str) -> Node:
         if m.start() > pos:
             at.parts.append(page[pos:m.start()])
         pos = m.end()
-        end, start = m.group(1), m.group(2)
+        end, start = m.group(1), m.group(2) or m.group(4)
         if end:
             end = end.lower()
             up = at
@@ -97,7 +111,7 @@ def tree(page: str) -> Node:
             if up is not None and up.parent is not None:
                 at = up.parent
         elif start:
-            tag, attrs = start.lower(), m.group(3) or ""
+            tag, attrs = start.lower(), m.group(3) or m.group(5) or ""
             if tag in CLOSES_P:
                 up = at
                 while up.parent is not None and up.tag != "p" and up.tag not in GROUP_ROOT:
@@ -124,9 +138,45 @@ def tree(page: str) -> Node:
                     pos = n
             elif tag not in VOID and not attrs.rstrip().endswith("/"):
                 at = node
+            if tag == "article":
+                articles.append(node)
+    _mark_replies(articles)
     return root
 
 
+def _mark_replies(articles: list[Node]) -> None:
+    """Mark reader comments: articles in an article with text of its own, and blocks of responses beside an article."""
+    outer: dict[int, Node] = {id(x.article): x.article for x in articles if x.article is not None}
+    own = {k: _own_chars(x) >= OWN_TEXT for k, x in outer.items()}
+    for x in articles:
+        if x.article is not None and own[id(x.article)]:
+            x.reply = True
+    apart = [x for x in articles if x.article is None and x.responses is None]
+    for x in articles:
+        block = x.responses
+        if block is not None and (x.article is not None and block.article is x.article and own[id(x.article)] or apart and x.article is None):
+            block.reply = True
+
+
+def _own_chars(article: Node) -> int:
+    """Characters of an article outside its headings, inner articles and elements that hold no text."""
+    chars, todo = 0, [article]
+    while todo:
+        for p in todo.pop().parts:
+            if isinstance(p, str):
+                chars += len(_SPACE.sub("", p))
+            elif p.tag != "article" and p.tag not in HEADINGS and p.tag not in SKIP:
+                todo.append(p)
+    return chars
+
+
+def _names_responses(node: Node) -> bool:
+    if not _MAY_RESPOND.search(node.attrs):
+        return False
+    attrs = _attributes(node)
+    return any(RESPONSES.intersection(w.lower() for w in _WORD.findall(attrs.get(k, ""))) for k in ("class", "id"))
+
+
 def _attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(node.attrs)} if node.attrs else {}
 
@@ -140,8 +190,13 @@ def _within(node: Node, tags: tuple[str, ...]) -> bool:
 
 def skipped(node: Node) -> bool:
     """Whether a subtree is no article text by its element, role or names."""
+    if node.reply:
+        return True
     if node.kept:
         return False
+    if node.tag == "aside" and node.article is not None and QUOTES.intersection(
+            w.lower() for w in _WORD.findall(_attributes(node).get("class", ""))):
+        return False
     if node.tag in SKIP:
         # a heading block inside an article belongs to it
         return node.tag != "header" or not _within(node, ARTICLE)
@@ -150,7 +205,7 @@ def skipped(node: Node) -> bool:
     if not node.attrs or node.tag in ("body", "html", "article", "main"):
         return False
     attrs = _attributes(node)
-    return _hidden(attrs) or bool(_naming(node, attrs))
+    return _hidden(attrs) or bool(_naming(node, attrs)) and not (node.tag in FIGURES and node.article is not None)
 
 
 def _hidden(attrs: dict[str, str]) -> bool:
@@ -208,7 +263,7 @@ def content_node(root: Node) -> Node | None:
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(x.density for x in path)
-    content = _holding_all(best, path, threshold)
+    content = _with_articles(_holding_all(best, path, threshold), inside, best, threshold)
     _keep_blocks(content, best, threshold, share)
     return content
 
@@ -263,7 +318,7 @@ def _open_most(root: Node) -> None:
 
 
 def _may_open(node: Node) -> bool:
-    if node.tag in SKIP and node.tag != "form" or node.tag == "label":
+    if node.tag in SKIP and node.tag != "form" or node.tag == "label" or node.reply:
         return False
     attrs = _attributes(node)
     return not _hidden(attrs) and all(k != "role" and _names_subject(token) for k, token in _naming(node, attrs))
@@ -278,7 +333,7 @@ def _keep_blocks(content: Node, best: Node, threshold: float, share: float) -> N
             if isinstance(p, str) or p.dropped:
                 continue
             if skipped(p):
-                if p.tag in SKIP or p.tag == "label":
+                if p.tag in SKIP or p.tag == "label" or p.reply:
                     continue
                 attrs = _attributes(p)
                 naming = _naming(p, attrs)
@@ -310,6 +365,38 @@ def _holding_all(best: Node, path: list[Node], threshold: float) -> Node:
     return best
 
 
+def _with_articles(content: Node, inside: list[Node], best: Node, threshold: float) -> Node:
+    """The node that holds the content and every further article of the page, without what lies between them."""
+    if content.tag != "article":
+        return content
+    if content.article is not None and not content.article.dropped:  # an inner article is no page of its own
+        content = content.article
+    taken = [x for x in inside if x.tag == "article" and x.article is None and x is not content and x.chars
+             and LINK_POOR * x.link_chars <= x.chars and _is_text(x, best, threshold) and not _teaser(x)]
+    if not taken:
+        return content
+    taken.append(content)
+    around: dict[int, int] = {}
+    for x in taken:
+        while x is not None:
+            around[id(x)] = around.get(id(x), 0) + 1
+            x = x.parent
+    while around[id(content)] < len(taken):
+        content = content.parent
+    chosen, todo = {id(x) for x in taken}, [content]
+    while todo:
+        node = todo.pop()
+        node.parts = [p for p in node.parts if not isinstance(p, str) and id(p) in around]
+        todo += [p for p in node.parts if id(p) not in chosen]
+    return content
+
+
+def _teaser(article: Node) -> bool:
+    """Whether a link is all of the article's first heading: the text itself is elsewhere."""
+    heading = next((x for x in _walk(article) if x.tag in HEADINGS and x.chars), None)
+    return heading is not None and (heading.link_chars == heading.chars or _within(heading, ("a",)))
+
+
 def _is_text(node: Node, best: Node, threshold: float) -> bool:
     """Whether a branch beside the densest node is content as well."""
     if node.density >= threshold:

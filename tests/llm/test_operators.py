@@ -433,6 +433,44 @@ def test_a_block_that_holds_the_page_is_entered(head):
     assert got.count(LINE.strip()) == 2 and ("form id" not in head or "No" not in got.split())
 
 
+def _paras(word, n=3):
+    return "".join(f"<p>The {word} text number {i} goes on at some length about things of use to those who read it.</p>" for i in range(n))
+
+
+@pytest.mark.parametrize("frame", ["<main>{}</main>", "<div>{}</div>", "{}", "<main><div>{}</div></main>"])
+def test_articles_side_by_side_are_all_content(frame):
+    inner = f"<article><h2>One</h2>{_paras('first', 5)}</article><div class=ad>Buy</div><div><article><h2>Two</h2>{_paras('second', 2)}</article></div>"
+    teaser = "<article><h3><a href=/t>Elsewhere</a></h3><p>Some other page says a lot of words about something else again.</p></article>"
+    got = html_density.main_text(f"<body><nav><a href=/>Home</a></nav>{frame.format(inner + teaser)}<footer>End</footer></body>").split("\n")
+    assert got[0] == "One" and got[6] == "Two" and len(got) == 9 and "first" in got[5] and "second" in got[8]
+
+
+@pytest.mark.parametrize("place", ["<main>{a}{c}</main>", "{a}{c}", "<article><h1>Head</h1>{p}{n}</article>", "<main><article><h1>Head</h1>{p}{c}</article></main>"])
+def test_reader_comments_in_articles_are_left_out(place):
+    comments = "".join(f"<article><p>{'I have much to say about this and will say it here. ' * 6}</p></article>" for _ in range(8))
+    parts = {"p": _paras("main"), "a": f"<article><h1>Head</h1>{_paras('main')}</article>", "n": comments,
+             "c": f"<section class='responses'><h2>Responses</h2>{comments}</section>"}
+    got = html_density.main_text(f"<body>{place.format(**parts)}</body>")
+    assert got.split("\n")[0] == "Head" and got.count("The main text") == 3 and "much to say" not in got and "Responses" not in got
+
+
+def test_an_article_around_an_article_keeps_its_text():
+    got = html_density.main_text(f"<body><article><h1>Head</h1><article>{_paras('inner')}</article></article></body>")
+    assert got.startswith("Head\n") and got.count("The inner text") == 3
+    assert html_density.main_text(f"<body><div class='first-response'><article>{_paras('only')}</article></div></body>").count("only") == 3
+
+
+@pytest.mark.parametrize("page,text", [('<p title="abc>two', "two"), ("<p>one</p><p title='abc>two</p>", "one\ntwo"), ('<p title="a>b">x</p>', "x")])
+def test_an_open_quote_ends_with_its_tag(page, text):
+    assert html_density.main_text(page) == text
+
+
+def test_quotes_and_captions_of_the_article_stay():
+    inner = "<figure class='banner'><img src=x><figcaption>What it shows</figcaption></figure><aside class='pull-quote'>Said so</aside><aside>Also read</aside>"
+    got = html_density.main_text(f"<body><article>{_paras('main')}{inner}{_paras('more')}</article></body>").split("\n")
+    assert got[3:5] == ["What it shows", "Said so"] and len(got) == 8
+
+
 # op9 ----------------------------------------------------------------------------------------
 
 def plain_measures(t):
