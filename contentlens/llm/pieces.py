@@ -287,18 +287,15 @@ class Codec:
         new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHE:
             self._cache = known = {w: known[w] for w in words if w in known}
-        short: dict[int, list[tuple[str, bytes]]] = {}
-        for w in new:
-            data = w.encode()
-            if len(data) > LONG_WORD:
-                known[w] = np.array(self.best_path(w), np.int32).tobytes()
-            else:
-                short.setdefault(len(data) // 8, []).append((w, data))
-        for group in short.values():
-            for lo in range(0, len(group), 8192):
-                part = group[lo:lo + 8192]
-                for (w, _), path in zip(part, self.best_paths([d for _, d in part])):
-                    known[w] = path
+        data = [w.encode() for w in new]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            known[new[i]] = np.array(self.best_path(new[i]), np.int32).tobytes()
+        order = np.argsort(sizes, kind="stable")
+        order = order[:int(np.searchsorted(sizes[order], LONG_WORD, "right"))]
+        for lo in range(0, len(order), 8192):  # words of about one length side by side
+            part = order[lo:lo + 8192].tolist()
+            known.update(zip(map(new.__getitem__, part), self.best_paths([data[i] for i in part])))
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Piece ids (int32) of each text; the empty text has none."""
