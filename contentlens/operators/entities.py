@@ -5,6 +5,8 @@ stopwords ("The", "In") are dropped from a run.  The type comes from a
 gazetteer (broadcast join; seed table or a user table) matched on the run,
 or on the run without its first word, else ``UNKNOWN``.
 Everything stays in the JVM; the gazetteer is the only resource.
+
+``gazetteer_matches`` finds the phrases of a table of any size at every position, whatever their case.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ CAPITALISED_RUN = r"\p{Lu}[\p{L}\p{N}]+(?: \p{Lu}[\p{L}\p{N}]+)*"
 # Same matches, but the possessive loop runs without recursion in the JVM, so a
 # run of any length (a list page in title case) cannot exhaust the stack.
 RUN_PATTERN = CAPITALISED_RUN + "+"
+NGRAM_WORD = r"[\p{L}\p{N}]+"
 MIN_CHARS = 10
 UNKNOWN = "UNKNOWN"
 
@@ -62,6 +65,48 @@ def extract_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         F.coalesce("t1", "t2", F.lit(UNKNOWN)).alias("type"))
 
 
+def gazetteer_matches(docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      max_words: int = 3) -> DataFrame:
+    """(id, start, n_words, phrase, type): phrases of ``gazetteer`` (phrase, type) in the texts, in any case and within any run.
+
+    Words are runs of letters and digits; the 1- to ``max_words``-grams at every position are joined to the phrases, and of what
+    overlaps the leftmost, then the longest is taken.  A phrase of several types has the smallest."""
+    word = F.lit(NGRAM_WORD)
+
+    def words_of(column):
+        return F.regexp_extract_all(F.lower(X.text_or_empty(column)), word, 0)
+
+    phrases = gazetteer.select(F.array_join(words_of("phrase"), " ").alias("phrase"), "type").filter("phrase <> ''")
+    phrases = phrases.groupBy("phrase").agg(F.min("type").alias("type"))
+    words = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("words"))
+    at = words.select("id", "words", F.posexplode("words").alias("start", "first"))
+    grams = at.select("id", "start", F.posexplode(F.array(*(
+        F.when(F.size("words") >= F.col("start") + n, F.array_join(F.slice("words", F.col("start") + 1, F.lit(n)), " "))
+        for n in range(1, max_words + 1)))).alias("more", "phrase"))
+    found = grams.join(phrases, "phrase").select("id", F.struct(
+        "start", (-F.col("more") - 1).alias("minus_n"), "phrase", "type").alias("m"))
+    none = F.struct(F.lit(0).alias("end"), F.filter(F.array(F.col("all")[0]), lambda m: F.lit(False)).alias("taken"))
+    # one text's matches in page order; a text is one row, so the list is bounded by its words
+    taken = found.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("all")).select("id", F.aggregate(
+        "all", none, lambda acc, m: F.when(m["start"] >= acc["end"], F.struct(
+            (m["start"] - m["minus_n"]).alias("end"), F.concat(acc["taken"], F.array(m)).alias("taken"))).otherwise(acc))["taken"].alias("taken"))
+    return taken.select(F.col("id").alias(id_col), F.inline("taken")).select(
+        id_col, "start", (-F.col("minus_n")).alias("n_words"), "phrase", "type")
+
+
+def entities_with_gazetteer(docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                            max_words: int = 3) -> DataFrame:
+    """(id, entity, type, n): typed phrases of each text with their places counted, and the capitalised runs that hold none of them."""
+    typed = gazetteer_matches(docs, gazetteer, id_col, text_col, max_words)
+    known = typed.groupBy(id_col).agg(F.collect_set("phrase").alias("known"))
+    runs = docs.select(F.col(id_col), F.explode(entity_candidates(text_col)).alias("entity")).join(known, id_col, "left")
+    plain = F.concat(F.lit(" "), F.lower("entity"), F.lit(" "))
+    holds = F.exists("known", lambda p: F.contains(plain, F.concat(F.lit(" "), p, F.lit(" "))))
+    rest = runs.filter(F.col("known").isNull() | ~holds).select(id_col, "entity", F.lit(UNKNOWN).alias("type"))
+    both = typed.select(id_col, F.col("phrase").alias("entity"), "type").unionByName(rest)
+    return both.groupBy(id_col, "entity", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_entity_types(entities: DataFrame, n: int = 10) -> DataFrame:
     """Most common types (ties by type)."""
     c = entities.groupBy("type").agg(F.count(F.lit(1)).cast("long").alias("n"))

@@ -121,6 +121,49 @@ def t10_entities(spark, sf):
     return _entities(spark, sf)
 
 
+# A gazetteer from the tables: the opening of every benchmark passage (its first one to three words, by the item's number).
+_OPENINGS = f"""
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), {O.q(ENT.NGRAM_WORD)}) AS w FROM benchmark),
+p AS (SELECT array_to_string(w[:n], ' ') AS phrase, min('OPENING ' || n::VARCHAR) AS type
+      FROM (SELECT w, (item_id % 3 + 1)::INTEGER AS n FROM b) WHERE len(w) >= n GROUP BY 1),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {O.q(ENT.NGRAM_WORD)}) AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(len(w))) AS start FROM d),
+g AS (SELECT doc_id, start, n, array_to_string(w[start + 1:start + n], ' ') AS phrase FROM s, (VALUES (1), (2), (3)) t(n) WHERE start + n <= len(w)),
+f AS MATERIALIZED (SELECT doc_id, start, max(n) AS n, arg_max(phrase, n) AS phrase, arg_max(type, n) AS type FROM g JOIN p USING (phrase) GROUP BY 1, 2),
+k(doc_id, start, n, phrase, type) AS (
+  SELECT doc_id, min(start), arg_min(n, start), arg_min(phrase, start), arg_min(type, start) FROM f GROUP BY doc_id
+  UNION ALL
+  SELECT f.doc_id, min(f.start), arg_min(f.n, f.start), arg_min(f.phrase, f.start), arg_min(f.type, f.start)
+  FROM k JOIN f ON f.doc_id = k.doc_id AND f.start >= k.start + k.n GROUP BY f.doc_id)"""
+
+
+def _openings(spark, sf):
+    bench = table(spark, sf, "benchmark")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(ENT.NGRAM_WORD), 0)
+    n = (F.col("item_id") % 3 + 1).cast("int")
+    return bench.select(words.alias("w"), n.alias("n")).filter("size(w) >= n").select(
+        F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("phrase"), F.concat(F.lit("OPENING "), F.col("n").cast("string")).alias("type"))
+
+
+@register("t10_gazetteer_matches", f"""
+WITH RECURSIVE {_OPENINGS}
+SELECT doc_id, start::INTEGER AS start, n AS n_words, phrase, type FROM k""")
+def t10_gazetteer_matches(spark, sf):
+    return ENT.gazetteer_matches(table(spark, sf, "documents"), _openings(spark, sf))
+
+
+@register("t10_entities_with_gazetteer", f"""
+WITH RECURSIVE {_OPENINGS},
+c AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {O.q(ENT.CAPITALISED_RUN)}) AS runs FROM documents),
+e AS (SELECT doc_id, unnest(list_filter(list_transform(runs, lambda r: {_lead_trim('r')}), lambda x: x IS NOT NULL)) AS entity FROM c),
+u AS (SELECT doc_id, entity FROM e WHERE NOT EXISTS (
+      SELECT 1 FROM k WHERE k.doc_id = e.doc_id AND contains(' ' || lower(entity) || ' ', ' ' || phrase || ' ')))
+SELECT doc_id, entity, type, count(*)::BIGINT AS n FROM (
+  SELECT doc_id, phrase AS entity, type FROM k UNION ALL SELECT doc_id, entity, 'UNKNOWN' AS type FROM u) GROUP BY 1, 2, 3""")
+def t10_entities_with_gazetteer(spark, sf):
+    return ENT.entities_with_gazetteer(table(spark, sf, "documents"), _openings(spark, sf))
+
+
 @register("t11_top_entity_types", f"""
 WITH {_ENTS}
 SELECT type, count(*)::BIGINT AS n FROM ent GROUP BY 1 ORDER BY n DESC, type LIMIT 10""")

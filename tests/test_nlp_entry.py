@@ -189,3 +189,23 @@ def test_end_to_end_writes_stages(spark):
     # later stages read the written feature table, and every page is scored
     assert spark.read.parquet(f"{d}/scored").count() == pages.count()
     assert out["features"].count() == pages.count()
+
+
+def test_gazetteer_matches_at_any_place_and_case(spark):
+    gaz = spark.createDataFrame([("New York", "GPE"), ("new york times", "ORG"), ("York", "GPE"), ("times square garden", "PLACE"), ("IBM", "ORG"),
+                                 ("ibm", "ABC"), ("...", "NONE"), ("a-b", "PAIR")], "phrase string, type string")
+    texts = [(1, "Old NEW york Times Square Garden, and ibm's york"), (2, "in new   york. A b"), (3, None), (4, ""), (5, "nothing"), (6, "ibm " * 50),
+             (2, "York")]
+    docs = spark.createDataFrame([(*t, 1, "x") for t in texts], "doc_id int, text string, start int, phrase string")
+    got = {tuple(r) for r in ENT.gazetteer_matches(docs.filter("text <> 'York' OR text IS NULL"), gaz).collect()}
+    assert {r for r in got if r[0] < 6} == {
+        (1, 1, 3, "new york times", "ORG"), (1, 7, 1, "ibm", "ABC"), (1, 9, 1, "york", "GPE"), (2, 1, 2, "new york", "GPE"), (2, 3, 2, "a b", "PAIR")}
+    assert sum(r[0] == 6 for r in got) == 50
+    assert ENT.gazetteer_matches(docs.limit(0), gaz).collect() == [] == ENT.gazetteer_matches(docs, gaz.limit(0)).collect()
+
+
+def test_entities_with_gazetteer_keep_unknown_runs(spark):
+    gaz = spark.createDataFrame([("acme works", "ORG")], "phrase string, type string")
+    docs = spark.createDataFrame([(1, "Big Acme Works met Carol Jones. Then acme works and Carol Jones."), (2, "Acme Rivals"), (3, None)], "doc_id int, text string")
+    got = {tuple(r) for r in ENT.entities_with_gazetteer(docs, gaz).collect()}
+    assert got == {(1, "acme works", "ORG", 2), (1, "Carol Jones", "UNKNOWN", 2), (2, "Acme Rivals", "UNKNOWN", 1)}
