@@ -110,16 +110,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
 
 def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id",
                      text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the mix takes it (0 to ``cap`` times), columns unchanged."""
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it (0 to ``cap`` times), columns unchanged.
+
+    Null texts have no words and are taken with their source; null sources are one source; an empty table stays empty; columns of any name pass."""
     _, limits = plan(docs, weights, cap, id_col, text_col, source_col)
-    limits = limits.select(F.col("source").alias("_mix_source"), F.col("passes").alias("_mix_passes"),
-                           F.col("below").alias("_mix_below"))
-    if {c.lower() for c in docs.columns} & {c.lower() for c in limits.columns}:
-        raise ValueError("columns named _mix_* are reserved")
-    more = (document_hash(F.col(id_col)) < F.col("_mix_below")).cast("long")
-    times = F.array_repeat(F.lit(0), (F.col("_mix_passes") + more).cast("int"))
+    source, passes, below = (free_name(docs, f"_mix_{c}") for c in ("source", "passes", "below"))
+    limits = limits.select(F.col("source").alias(source), F.col("passes").alias(passes), F.col("below").alias(below))
+    more = (document_hash(F.col(id_col)) < F.col(below)).cast("long")
+    times = F.array_repeat(F.lit(0), (F.col(passes) + more).cast("int"))
     turn = free_name(docs, "_turn")
-    return (docs.join(limits, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    return (docs.join(limits, F.col(source_col).eqNullSafe(F.col(source)))
             .withColumn(turn, F.explode(times)).select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 

@@ -148,3 +148,11 @@ def test_pipeline_against_plain_versions(spark):
     taken = {r.doc_id: r.taken // r.size for r in mixing.mix(three).collect()}
     got = [r.doc_id for r in corpus_pipeline.run(spark, sf).collect()]
     assert sorted(got) == sorted(i for i, n in taken.items() for _ in range(n))
+
+
+def test_mixed_rows_may_have_any_column_names(spark):
+    rows = [(i, "some words here " * (i % 4), "abc"[i % 3], 1, "x", 2) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_source int, _mix_passes string, _MIX_below int")
+    got = mixing.repeat_documents(docs)
+    plain = mixing.repeat_documents(docs.drop("_mix_source", "_mix_passes", "_MIX_below"))
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in plain.collect())
