@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.resources import (BOOSTER_INCREMENT, BOOSTERS, ENGLISH_STOPWORDS, NEGATION_SCALAR,
                                    NEGATIONS, SEED_GAZETTEER, SEED_LEXICON, SENTIMENT_ALPHA)
 from ..operators import entities as ENT
+from ..operators import sentences as SENT
 from ..operators import sentiment as SEN
 from ..operators import stats as S
 from ..operators import topics as TOP
+from ..operators.holding import hold
 from . import oracle_sql as O
 from .queries import _hist_sql
 from .registry import register, table
@@ -198,6 +201,60 @@ def t12_top_entities(spark, sf):
     return ENT.top_entities(_entities(spark, sf), 15)
 
 
+# -------------------------------------------------- sentences (X8, learnt)
+def _core_sql(w):
+    return f"regexp_extract({w}, {O.q(SENT.CORE)}, 1)"
+
+
+def _type_sql(core):
+    bare = f"lower(CASE WHEN regexp_matches({core}, {O.q(SENT.ONE_PERIOD)}) THEN {core}[:-2] ELSE {core} END)"
+    return f"CASE WHEN regexp_matches({bare}, {O.q(SENT.TYPE)}) THEN {bare} END"
+
+
+_TYPES = f"""
+sd AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {O.q(X.WORD)}) AS ws FROM documents),
+si AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM sd),
+sw AS (SELECT doc_id, CASE WHEN i > 1 THEN ws[i - 1] END AS before, ws[i] AS word,
+              CASE WHEN i < len(ws) THEN ws[i + 1] END AS after, {_core_sql('ws[i]')} AS core FROM si),
+st AS (SELECT *, {_type_sql('core')} AS type FROM sw),
+tc AS (SELECT type, count(*) FILTER (WHERE regexp_matches(core, {O.q(SENT.ONE_PERIOD)})) AS n_period,
+              count(*) FILTER (WHERE NOT regexp_matches(core, {O.q(SENT.ONE_PERIOD)})) AS n_plain,
+              count(*) FILTER (WHERE regexp_matches(core, '^\\p{{Ll}}')) AS n_lower,
+              count(*) FILTER (WHERE regexp_matches(core, '^\\p{{Lu}}') AND before IS NOT NULL
+                                     AND NOT regexp_matches(before, {O.q(SENT.BREAK_BEFORE)})) AS n_inside
+       FROM st WHERE type IS NOT NULL GROUP BY 1),
+tr AS (SELECT sum(n_period)::DOUBLE / sum(n_period + n_plain)::DOUBLE AS rate FROM tc),
+tl AS (SELECT *, length(replace(type, '.', ''))::DOUBLE AS letters FROM tc, tr),
+ts AS (SELECT *, CASE WHEN n_period > 0 THEN greatest(0.0::DOUBLE,
+              -2.0::DOUBLE * (n_period * ln(greatest(rate, 1e-300::DOUBLE)) + n_plain * ln(greatest(1 - rate, 1e-300::DOUBLE))
+                      - n_period * ln({SENT.ABBREVIATION_RATE}::DOUBLE) - n_plain * ln({1.0 - SENT.ABBREVIATION_RATE}::DOUBLE))
+              * exp(-letters) * (length(type) - letters + 1) * pow(letters, -n_plain::DOUBLE)) ELSE 0.0::DOUBLE END AS score FROM tl),
+types AS (SELECT *, (length(type) = 1 AND n_period > 0) OR score >= {SENT.ABBREVIATION_SCORE} AS is_abbreviation FROM ts)"""
+
+
+@register("x8_sentence_types", f"""
+WITH {_TYPES}
+SELECT type, n_period, n_plain, n_lower, n_inside, round(score, 6) AS score, is_abbreviation FROM types""")
+def x8_sentence_types(spark, sf):
+    return SENT.sentence_types(table(spark, sf, "documents")).withColumn("score", F.round("score", 6))
+
+
+@register("x8_sentence_count_learnt", f"""
+WITH {_TYPES},
+nx AS (SELECT doc_id, type, {_core_sql('after')} AS nc FROM st
+       WHERE regexp_matches(word, {O.q(SENT.PERIOD_END)}) AND after IS NOT NULL AND NOT regexp_matches(after, '^[.!?]')),
+wi AS (SELECT doc_id, count(*) AS n FROM nx JOIN types a ON a.type = nx.type AND a.is_abbreviation
+       WHERE NOT EXISTS (SELECT 1 FROM types s WHERE s.n_lower > 0 AND s.n_inside = 0 AND regexp_matches(nx.nc, '^\\p{{Lu}}')
+                         AND s.type = {_type_sql('nx.nc')}) GROUP BY 1)
+SELECT doc_id, (len(regexp_extract_all(t, {O.q(SENT.END)}))
+                + CASE WHEN regexp_matches(t, {O.q(f'[^{X.SPACES}]')}) AND NOT regexp_matches(t, {O.q(SENT.CLOSED)}) THEN 1 ELSE 0 END
+                - coalesce(wi.n, 0))::BIGINT AS sentence_count
+FROM sd LEFT JOIN wi USING (doc_id)""")
+def x8_sentence_count_learnt(spark, sf):
+    docs = table(spark, sf, "documents")
+    return SENT.sentence_counts(docs, hold(SENT.sentence_types(docs)))
+
+
 # ----------------------------------------------------------------- topics
 def _lda(spark, sf):
     docs = table(spark, sf, "documents")
