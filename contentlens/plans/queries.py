@@ -37,6 +37,20 @@ def s1_read_pages(spark, sf):
     return p.select("page_id", "url", F.length(F.coalesce("html", F.lit(""))).cast("long").alias("html_chars"))
 
 
+@register("s1_read_pages_split_csv", """
+SELECT url, coalesce(html, '') AS html, count(*)::BIGINT AS n FROM pages GROUP BY 1, 2""")
+def s1_read_pages_split_csv(spark, sf):
+    """The pages written as CSV to the shared folder and cut into records by byte ranges."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.readers import read_pages, write_table
+    path = f"{checkpoint_dir(spark).rstrip('/')}/contentlens-pages-{uuid.uuid4().hex}"
+    write_table(table(spark, sf, "pages").select("url", "html"), path, fmt="csv")
+    read = read_pages(spark, path, html_col="html", split_records=True)
+    return read.groupBy("url", F.coalesce("html", F.lit("")).alias("html")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("s2_read_content", """
 SELECT doc_id, 'doc:' || doc_id::VARCHAR AS url, length(coalesce(text, ''))::BIGINT AS body_chars
 FROM documents""")

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators.embed import to_dense
 from ..schemas import FEATURES_CSV, require_columns
+from .csv_records import read_csv_records
 
 
 #: One set of options for reading and writing: a header, doubled quotes, line ends inside quotes, spaces kept.
@@ -30,15 +31,19 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "csv", html_col: str = "html_content",
-               url_col: str = "url") -> DataFrame:
+               url_col: str = "url", split_records: bool = False) -> DataFrame:
     """Raw pages (url, html); raises ValueError when the header lacks a column.
 
     CSV input gets a ``row_id`` (the reference keys rows by position): the id
     is stable for a given file layout, and downstream stages key on it.
+    ``split_records`` reads one CSV file in many tasks (``csv_records``; quotes only in quoted fields) and
+    numbers rows by their place, whatever the size of a task; the default takes one task a file.
     """
     df = _csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
     require_columns(df, url_col, html_col)
-    if fmt == "csv":
+    if fmt == "csv" and split_records:
+        df = read_csv_records(spark, path, df.columns, CSV).select("row_id", url_col, html_col)
+    elif fmt == "csv":
         df = df.select(F.monotonically_increasing_id().alias("row_id"), url_col, html_col)
     return df
 
