@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..operators import embed as EM
 from ..operators import model as M
 from ..operators import similarity as SIM
 from ..operators import stats as S
 from ..session import checkpoint_dir
+from . import oracle_sql as O
 from .jobs import analyze_pages, run_end_to_end
-from .queries import _hist_sql, labelled_docs
+from .queries import _hist_sql, _x16_sql, labelled_docs
 from .queries_vectors import _DOC_PAIRS, _FLAT, DUP_T
 from .registry import register, table
 
@@ -38,6 +40,21 @@ def e2_analyze_pages(spark, sf):
                          model=_doc_model(spark, sf))
 
 
+@register("e2_analyze_pages_without_model", f"""
+WITH p AS (SELECT * FROM ({_x16_sql(False)}) WHERE body_text <> '' AND word_count > 0),
+raw AS (SELECT *, {O.sentence_count('body_text')} AS sentence_count, {O.syllable_count('body_text')} AS syl FROM p),
+f AS (SELECT *, {O.flesch('word_count', 'sentence_count', 'syl')} AS readability FROM raw)
+SELECT page_id, url, title, word_count, sentence_count, readability, 'Unknown' AS quality_label, word_count < 500 AS is_thin,
+       CASE WHEN readability BETWEEN 50 AND 70 THEN 'Optimal' WHEN readability < 30 THEN 'Very Difficult'
+            WHEN readability > {L.READ_SIMPLE} THEN 'Too Simple' ELSE 'Could Be Improved' END AS readability_band,
+       substring(body_text, 1, 500) AS body_preview
+FROM f""")
+def e2_analyze_pages_without_model(spark, sf):
+    """E2 where no model is saved (label Unknown): its columns but for the similar pages, which j4_* check."""
+    out = analyze_pages(table(spark, sf, "pages"), table(spark, sf, "documents"))
+    return out.drop("similar_to", "max_similarity", "similarity_band")
+
+
 @register("e3_analyze_stream")
 def e3_analyze_stream(spark, sf):
     from ..streaming.analyze import analyze_stream

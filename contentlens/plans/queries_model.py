@@ -94,6 +94,36 @@ def m4_baseline_metrics(spark, sf):
     return r.select(F.round("accuracy", 6).alias("accuracy"), F.round("f1", 6).alias("f1"))
 
 
+def _metrics_sql(predicted, prefix=""):
+    """One row: accuracy and support-weighted F1 of ``predicted`` against ``actual`` in te2."""
+    return f"""(SELECT avg(CASE WHEN actual = {predicted} THEN 1.0 ELSE 0.0 END) AS {prefix}accuracy,
+       (SELECT sum(support * CASE WHEN tp > 0 THEN 2 * (tp / npred) * (tp / support) / (tp / npred + tp / support) ELSE 0.0 END)
+               / sum(support)
+        FROM (SELECT l, (SELECT count(*) FROM te2 WHERE actual = l AND {predicted} = l)::DOUBLE AS tp,
+                     (SELECT count(*) FROM te2 WHERE actual = l)::DOUBLE AS support,
+                     (SELECT count(*) FROM te2 WHERE {predicted} = l)::DOUBLE AS npred FROM {_GRID} g) c) AS {prefix}f1
+       FROM te2)"""
+
+
+@register("m8_evaluate_fixed_predictions", f"""
+WITH {_SPLIT},
+te2 AS (SELECT quality_label AS actual, {O.baseline_label('word_count')} AS baseline,
+               CASE WHEN word_count >= 1000 THEN 'High' WHEN word_count < 300 THEN 'Low' ELSE 'Medium' END AS predicted
+        FROM sp WHERE split = 'test')
+SELECT round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, round(baseline_accuracy, 6) AS baseline_accuracy,
+       round(baseline_f1, 6) AS baseline_f1, round(accuracy - baseline_accuracy, 6) AS accuracy_gain,
+       round(f1 - baseline_f1, 6) AS f1_gain
+FROM {_metrics_sql('predicted')} m, {_metrics_sql('baseline', 'baseline_')} b""")
+def m8_evaluate_fixed_predictions(spark, sf):
+    """M8 on predictions by a fixed rule of the word count, which SQL can repeat (a fitted forest it cannot)."""
+    w = F.col("word_count")
+    test = split_docs(spark, sf).filter(F.col("split") == "test").select(
+        "quality_label", L.baseline_label(w).alias("baseline"),
+        F.when(w >= 1000, "High").when(w < 300, "Low").otherwise("Medium").alias("predicted"))
+    out = M.evaluate(test, "quality_label", "predicted", "baseline")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
 # ---------------------------------------------------------- model (rows-only)
 def _fit(spark, sf):
     s = split_docs(spark, sf)
