@@ -178,7 +178,9 @@ def top_k(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, block:
                 yield pa.RecordBatch.from_arrays([pa.array(x.block.ids[q]), pa.array(x.id[q, c]), pa.array(x.score[q, c])],
                                                  ["query_id", "vec_id", "score"])
 
-        found = rows.mapInArrow(search, "query_id long, vec_id long, score long")
+        # written before the next block is sent, so executors hold the vectors of one block at a time
+        found = cut(rows.mapInArrow(search, "query_id long, vec_id long, score long"), "hits")
+        blocks.destroy()
         hits = found if hits is None else hits.union(found)
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
