@@ -57,7 +57,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
 
     Returns (rows of ``y`` int and ``text``; row counts per class over **all** training labels).
     At most ``per_class`` documents of each class (smallest md5 of the id); of conflicting
-    labels for one id the smaller holds; null ids, null labels and labels other than 0/1 take no part.
+    labels for one id the smaller holds; of repeated ids the text with the smallest md5 is taken, so the
+    sample has one row an id; null ids, null labels and labels other than 0/1 take no part.
     """
     known = (labels.select(F.col(id_col).alias("_id"), F.col(target).cast("int").alias("y"))
              .filter(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & (split_remainder(F.col("_id")) != 2))
@@ -72,8 +73,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
         ids = ids.union(more)
     # at most 2 * per_class ids: the bound of this broadcast is a parameter
     rows = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-            .join(F.broadcast(ids), "_id").select("y", F.coalesce("text", F.lit("")).alias("text")))
-    return rows, counts
+            .join(F.broadcast(ids), "_id").select("_id", "y", F.coalesce("text", F.lit("")).alias("text")))
+    # partial results first: an id that a third of all rows share costs one text a task
+    one = rows.groupBy("_id").agg(F.min("y").alias("y"), F.min_by("text", F.md5("text")).alias("text"))
+    return one.select("y", "text"), counts
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

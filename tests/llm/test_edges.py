@@ -3,6 +3,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from contentlens.llm import (html_density, licenses, mixing, pieces, quality_embed, rules, sharding, simhash, topk,
@@ -156,3 +157,16 @@ def test_mixed_rows_may_have_any_column_names(spark):
     got = mixing.repeat_documents(docs)
     plain = mixing.repeat_documents(docs.drop("_mix_source", "_mix_passes", "_MIX_below"))
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in plain.collect())
+
+
+def test_the_training_sample_has_one_row_an_id(spark):
+    from contentlens.llm.common import split_remainder, training_sample
+    docs = [(i, f"text {i}") for i in range(40)] + [(5, f"other {i}") for i in range(60)] + [(6, None)] * 30
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    known = {r.doc_id for r in labels.filter(split_remainder(F.col("doc_id")) != 2).collect()}
+    sample, counts = training_sample(df, labels, "quality", 1000)
+    got = sample.collect()
+    assert len(got) == len(known) == sum(counts.values())
+    again, _ = training_sample(df.repartition(7), labels, "quality", 1000)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again.collect()))
