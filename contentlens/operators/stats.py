@@ -1,8 +1,8 @@
 """Aggregations, statistics, sorts and limits (A1-A8, O1-O4, P13, T13 helpers).
 
 Every statistic is one aggregation (partial aggregation on the map side, a
-tiny final merge); exact percentiles use ``percentile`` (interpolating, like
-pandas) rather than the approximate summary.
+tiny final merge); exact percentiles (interpolating, like pandas) are located by
+radix selection, so no task keeps all distinct values.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import THIN_WORDS
+from .holding import hold, released
+from .quantiles import exact_quantiles
 
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -28,42 +30,36 @@ def count_by(df: DataFrame, col: str, name: str = "n") -> DataFrame:
             .orderBy(F.desc(name), F.asc(col)))
 
 
+def _numbers(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns as doubles, held: the passes below read these narrow rows, not the source."""
+    return hold(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+
+
+def _report(df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
+    """A report of one row a column of the input, as a DataFrame."""
+    return df.sparkSession.createDataFrame(rows, columns)
+
+
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A3: count, mean, std (sample), min, 25/50/75 %, max per column, in long form."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [
-            F.count(x).cast("long").alias(f"{c}__count"),
-            F.avg(x).alias(f"{c}__mean"),
-            F.stddev_samp(x).alias(f"{c}__std"),
-            F.min(x).alias(f"{c}__min"),
-            F.percentile(x, [0.25, 0.5, 0.75]).alias(f"{c}__q"),
-            F.max(x).alias(f"{c}__max"),
-        ]
-    one = df.agg(*aggs)
-    rows = [F.struct(
-        F.lit(c).alias("feature"),
-        F.col(f"{c}__count").alias("count"),
-        F.col(f"{c}__mean").alias("mean"),
-        F.col(f"{c}__std").alias("std"),
-        F.col(f"{c}__min").alias("min"),
-        F.col(f"{c}__q")[0].alias("q25"),
-        F.col(f"{c}__q")[1].alias("q50"),
-        F.col(f"{c}__q")[2].alias("q75"),
-        F.col(f"{c}__max").alias("max"),
-    ) for c in cols]
-    return one.select(F.inline(F.array(*rows)))
+    """A3: count, mean, std (sample), min, 25/50/75 %, max per column, in long form.
+
+    One scan for the moments of all columns, then the scans of ``exact_quantiles``; runs when called."""
+    with released():
+        x = _numbers(df, cols)
+        one = x.agg(*[F.struct(F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)).alias(c) for c in cols]).first()
+        q = exact_quantiles(x, {c: one[c][0] for c in cols}, [0.25, 0.5, 0.75])
+        rows = [(c, *one[c][:4], *q[c], one[c][4]) for c in cols]
+    return _report(df, rows, "feature string, count long, mean double, std double, min double, "
+                             "q25 double, q50 double, q75 double, max double")
 
 
 def mean_median(df: DataFrame, cols: list[str]) -> DataFrame:
-    """A5: mean and exact median per column (the chart reference lines)."""
-    one = df.agg(*[a for c in cols for a in (
-        F.avg(F.col(c).cast("double")).alias(f"{c}__mean"),
-        F.median(F.col(c).cast("double")).alias(f"{c}__median"))])
-    rows = [F.struct(F.lit(c).alias("feature"), F.col(f"{c}__mean").alias("mean"),
-                     F.col(f"{c}__median").alias("median")) for c in cols]
-    return one.select(F.inline(F.array(*rows)))
+    """A5: mean and exact median per column (the chart reference lines); runs when called."""
+    with released():
+        x = _numbers(df, cols)
+        one = x.agg(*[F.struct(F.count(c), F.avg(c)).alias(c) for c in cols]).first()
+        q = exact_quantiles(x, {c: one[c][0] for c in cols}, [0.5])
+    return _report(df, [(c, one[c][1], *q[c]) for c in cols], "feature string, mean double, median double")
 
 
 def histogram(df: DataFrame, col: str, bins: int, feature: str | None = None,
@@ -100,28 +96,24 @@ def histogram(df: DataFrame, col: str, bins: int, feature: str | None = None,
 def box_plot_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whisker ends (furthest points inside) and outliers.
 
-    Per column: one exact-percentile aggregation (one row), broadcast back
-    to a second aggregation for whiskers and the outlier count.
-    """
-    outs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = df.agg(F.percentile(x, [0.25, 0.5, 0.75]).alias("q")).select(
-            F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-        iqr = F.col("q3") - F.col("q1")
-        q = q.select("*", (F.col("q1") - 1.5 * iqr).alias("lo_fence"),
-                     (F.col("q3") + 1.5 * iqr).alias("hi_fence"))
-        v = F.col("x")
-        inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
-        stats = (attach_scalars(df.select(x.alias("x")).filter(v.isNotNull()), q)
-                 .agg(F.min(F.when(inside, v)).alias("whisker_lo"),
-                      F.max(F.when(inside, v)).alias("whisker_hi"),
-                      F.count(F.when(~inside, 1)).cast("long").alias("n_outliers")))
-        outs.append(attach_scalars(q, stats).select(F.lit(c).alias("feature"), "*"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+    Quartiles of all columns by ``exact_quantiles``, then one scan for all whiskers and outlier
+    counts, as the fences are known numbers by then; runs when called."""
+    with released():
+        x = _numbers(df, cols)
+        one = x.agg(*[F.count(c).alias(c) for c in cols]).first()
+        q = exact_quantiles(x, {c: one[c] for c in cols}, [0.25, 0.5, 0.75])
+        boxes, ends = {}, []
+        for c in cols:
+            q1, mid, q3 = q[c]
+            lo, hi = (None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+            boxes[c] = (q1, mid, q3, lo, hi)
+            inside = F.col(c).between(F.lit(lo).cast("double"), F.lit(hi).cast("double"))
+            ends.append(F.struct(F.min(F.when(inside, F.col(c))), F.max(F.when(inside, F.col(c))),
+                                 F.count(F.when(~inside, 1))).alias(c))
+        found = x.agg(*ends).first()
+    return _report(df, [(c, *boxes[c], *found[c]) for c in cols],
+                   "feature string, q1 double, median double, q3 double, lo_fence double, hi_fence double, "
+                   "whisker_lo double, whisker_hi double, n_outliers long")
 
 
 def thin_vs_normal(df: DataFrame, wc_col: str = "word_count", threshold: int = THIN_WORDS) -> DataFrame:
