@@ -90,12 +90,8 @@ def _route_self(v: DataFrame, nb: int) -> DataFrame:
 
 
 def block_pairs(v: DataFrame, threshold: float | None, block_size: int = 2048,
-                dim: int | None = None, agg: str | None = None) -> DataFrame:
-    """All pairs id_1 < id_2 with cosine > threshold (None: every pair).
-
-    ``agg="max"`` returns one row per block pair with the largest cosine
-    instead (used by J7), so nothing pair-sized is produced at all.
-    """
+                dim: int | None = None) -> DataFrame:
+    """All pairs id_1 < id_2 with cosine > threshold (None: every pair)."""
     sparse = _is_sparse(v)
     # The count decides the number of blocks; persisting first means the
     # vectors are computed once for both the count and the pair pass.
@@ -118,11 +114,6 @@ def block_pairs(v: DataFrame, threshold: float | None, block_size: int = 2048,
             a_ids, b_ids = ids[left], ids[right]
             s = u[left] @ u[right].T
             mask = np.ones(s.shape, dtype=bool)
-        if agg == "max":
-            vals = s[mask]
-            if vals.size == 0:
-                return pd.DataFrame({"id_1": [], "id_2": [], "similarity": []})
-            return pd.DataFrame({"id_1": [-1], "id_2": [-1], "similarity": [float(vals.max())]})
         i, j = np.nonzero(mask & (s > t))
         a, b = a_ids[i], b_ids[j]
         return pd.DataFrame({"id_1": np.minimum(a, b), "id_2": np.maximum(a, b),
@@ -288,10 +279,23 @@ def unit_sum_stats(v: DataFrame) -> DataFrame:
 
 
 def upper_triangle_stats(v: DataFrame, block_size: int = 2048) -> DataFrame:
-    """Mean and max of the off-diagonal similarities (i < j) over the whole table."""
-    s = unit_sum_stats(v)
-    mx = block_pairs(v, None, block_size, agg="max").agg(F.max("similarity").alias("max_similarity"))
-    return attach_scalars(s, mx).select(
-        (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n_pairs"),
-        (F.col("pair_sum") / (F.col("n") * (F.col("n") - 1) / 2)).alias("mean_similarity"),
-        "max_similarity")
+    """Mean and max of the off-diagonal similarities (i < j) over the whole table; runs when called.
+
+    The mean needs no pairs (``unit_sum_stats``).  The maximum is 1 if two rows hold one non-zero vector; else
+    it is searched best bound first (``max_pair``), over one row a distinct vector."""
+    from .max_pair import max_pair
+    v = hold(v)
+    groups = hold(collapse_copies(v))
+    shape = groups.agg(F.count(F.when(~F.col("is_zero") & (F.col("copies") > 1), 1)).alias("copied"),
+                       F.sum("copies").alias("n"), F.sum(F.when(F.col("is_zero"), F.col("copies"))).alias("zeros")).first()
+    if shape["copied"]:
+        best = 1.0
+    else:
+        reps = groups.select(F.col("rep").alias("id"), *_payload_cols(_is_sparse(v)))
+        best = max_pair(reps, block=block_size).similarity
+        if (shape["zeros"] or 0) > 1:  # zero vectors among themselves
+            best = max(0.0, best if best is not None else 0.0)
+    n_pairs = F.col("n") * (F.col("n") - 1) / 2
+    return unit_sum_stats(v).select(
+        n_pairs.cast("long").alias("n_pairs"), (F.col("pair_sum") / F.nullif(n_pairs, F.lit(0.0))).alias("mean_similarity"),
+        F.lit(best).cast("double").alias("max_similarity"))

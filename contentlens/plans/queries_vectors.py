@@ -11,6 +11,8 @@ from ..operators import embed as EM
 from ..operators import extract as E
 from ..operators import similarity as SIM
 from ..operators import stats as S
+from ..operators.holding import hold
+from ..operators.max_pair import max_pair
 from . import oracle_sql as O
 from .queries_tfidf import _KW_DOCS
 from .registry import register, table
@@ -336,6 +338,17 @@ def j7_upper_triangle_stats(spark, sf):
                      F.round("max_similarity", 6).alias("max_similarity"))
 
 
+@register("j7_max_similarity_documents", f"""
+WITH {_DOC_PAIRS}
+SELECT count(*)::BIGINT AS texts, (SELECT round(max(sim), 6) FROM sims) AS max_similarity FROM dg WHERE len(v) > 0""")
+def j7_max_similarity_documents(spark, sf):
+    """Greatest similarity of two different, non-empty document vectors."""
+    v = SIM.as_vectors(EM.hashed_tfidf(table(spark, sf, "documents")), "doc_id", sparse=("indices", "values"))
+    groups = hold(SIM.collapse_copies(v).filter(~F.col("is_zero")))
+    best = max_pair(groups.select(F.col("rep").alias("id"), "indices", "values")).similarity
+    return groups.agg(F.count(F.lit(1)).alias("texts")).select("texts", F.round(F.lit(best).cast("double"), 6).alias("max_similarity"))
+
+
 # --------------------------------------------------------------------- T15
 @register("t15_build_features", f"""
 WITH {O.DOC_FEATURES}, {_t14_sql('documents', 'doc_id', 'text', 'd')}, {_KW_DOCS},
