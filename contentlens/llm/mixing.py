@@ -4,7 +4,7 @@ Targets: sources share all words by weight, none gets more than ``CAP`` times wh
 shared anew by weight.  That fixed point is target = min(CAP * size, level * weight) for the one
 level at which targets add up, found over sources ordered by CAP * size / weight.
 
-Taking: a document has a fixed 40-bit hash of its id.  A source whose target is f whole passes and a rest takes
+Taking: a document has a fixed 40-bit hash of its id and text.  A source whose target is f whole passes and a rest takes
 each document f times, and once more below a hash threshold.  The threshold is found without
 sorting documents: words are summed by source and hash bucket (1,024 buckets), the bucket in which
 the running sum crosses the budget is the boundary, and only that bucket is summed again by the next ten bits,
@@ -27,9 +27,10 @@ def document_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def document_hash(doc_id: Column) -> Column:
-    """First 40 bits of the md5 of the id's text (null: of the empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 10), 16, 10).cast("long")
+def document_hash(doc_id: Column, text: Column) -> Column:
+    """First 40 bits of the md5 of ``<id>:<text>`` (nulls: empty), so that null or repeated ids do not share a cell."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 10), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -90,7 +91,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id
          text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(sized documents: doc_id, source, size, hash; thresholds per source)."""
     sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                            document_size(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("hash")), "sized")
+                            document_size(F.col(text_col)).alias("size"), document_hash(F.col(id_col), F.col(text_col)).alias("hash")), "sized")
     return sized, thresholds(sized, cut(targets(sized, weights, cap), "targets"))
 
 
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
     """One row per input row: doc_id, size, source_size, target (of its source), taken.
 
     Null or empty texts have size 0 and take 0; a null source is a source of its own, last in order; rows with
-    one id share a hash and so are taken alike; other columns are not read; an empty table gives
+    one id and one text share a hash and so are taken alike; other columns are not read; an empty table gives
     an empty result.  A rerun takes the same documents."""
     sized, limits = plan(docs, weights, cap, id_col, text_col, source_col)
     limits = limits.withColumnRenamed("source", "s")
@@ -116,7 +117,7 @@ def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
     _, limits = plan(docs, weights, cap, id_col, text_col, source_col)
     source, passes, below = (free_name(docs, f"_mix_{c}") for c in ("source", "passes", "below"))
     limits = limits.select(F.col("source").alias(source), F.col("passes").alias(passes), F.col("below").alias(below))
-    more = (document_hash(F.col(id_col)) < F.col(below)).cast("long")
+    more = (document_hash(F.col(id_col), F.col(text_col)) < F.col(below)).cast("long")
     times = F.array_repeat(F.lit(0), (F.col(passes) + more).cast("int"))
     turn = free_name(docs, "_turn")
     return (docs.join(limits, F.col(source_col).eqNullSafe(F.col(source)))
@@ -126,7 +127,7 @@ def repeat_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
 ORACLE = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10))::BIGINT AS hash FROM documents),
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 10))::BIGINT AS hash FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS place FROM src),
 weighed AS (SELECT source, source_size, CASE place WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
