@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import split_remainder, training_sample
+from .common import cut, split_remainder, training_sample
 from .hashing import Pieces, batches, mixed
 
 PER_CLASS = 2000     # bound of the training sample: at most this many labelled documents of each class
+FEATURES = 32_768    # bound of the features looked at, besides the seed words: at most 2 * 2,000 * 32,768 hashes reach the driver
 TOXIC = 0.3
 BEGINNINGS = (3, 4, 5, 6, 7)
 MINED_VOTERS = 12    # mined words and mined beginnings are dealt to this many voters each
@@ -256,23 +257,51 @@ def train_classifier(sets: list[np.ndarray], q: np.ndarray, prior_shift: float,
     return Classifier(every[often][live], w[live], bias + prior_shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = PER_CLASS) -> Classifier:
-    """Voters, label model and classifier from a bounded sample (its distinct features come to the driver).
+def sample_sets(sample: DataFrame, features: int = FEATURES) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(class, feature hashes) of each sampled text, for the seed words and the ``features`` that tell most.
+
+    Spark counts every feature of the sample by class and keeps those of two or more texts with the greatest
+    likelihood ratio for class 1 (ties: more texts, smaller hash), so that the driver receives at most
+    ``features`` hashes and as many a text, however long texts are."""
+    def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for lo in range(0, len(pdf), 16):  # a few long texts at a time
+                part = pdf.iloc[lo:lo + 16]
+                yield pd.DataFrame({"y": part["y"], "f": [s.view(np.int64) for s in feature_sets(part["text"].tolist())]})
+
+    sets = cut(sample.mapInPandas(hashed, "y int, f array<long>"), "toxic-features")
+    sizes = {r["y"]: r["n"] for r in sets.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        return np.repeat([0, 1], [n0, n1]), [np.zeros(0, np.uint64)] * (n0 + n1)
+    share = n1 / (n0 + n1)
+    rate = F.col("toxic") / F.col("n")
+    part = lambda r, of: F.when(r > 0, r * F.log(r / F.lit(of))).otherwise(0.0)
+    ratio = F.when(rate > share, F.col("n") * (part(rate, share) + part(1 - rate, 1 - share))).otherwise(0.0)
+    best = (sets.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+            .filter("n > 1").orderBy(ratio.desc(), F.desc("n"), "f").limit(features))
+    seeds = np.concatenate([_hash_words(v.split()) for v in SEED_LISTS.values()])
+    kept = np.unique(np.concatenate([seeds, np.array([r["f"] for r in best.select("f").collect()], np.int64).view(np.uint64)]))
+
+    def narrowed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({"y": pdf["y"], "f": [
+                np.intersect1d(np.asarray(s, np.int64).view(np.uint64), kept, assume_unique=True).tobytes() for s in pdf["f"]]})
+
+    got = sorted((r["y"], bytes(r["f"])) for r in sets.mapInPandas(narrowed, "y int, f binary").collect())
+    return np.array([y for y, _ in got]), [np.frombuffer(f, np.uint64) for _, f in got]
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = PER_CLASS,
+        features: int = FEATURES) -> Classifier:
+    """Voters, label model and classifier from a bounded sample, of which ``features`` feature hashes are looked at.
 
     Without labels of both classes every text scores the share of class 1 (0 without any)."""
     sample, counts = training_sample(docs, labels, target, per_class)
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if not n0 or not n1:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), 20.0 if n1 else -20.0)
-
-    def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame({"y": pdf["y"], "f": [s.tobytes() for s in feature_sets(pdf["text"].tolist())]})
-
-    got = sorted((r["y"], bytes(r["f"])) for r in sample.mapInPandas(hashed, "y int, f binary").collect())
-    y = np.array([a for a, _ in got])
-    sets = [np.frombuffer(b, np.uint64) for _, b in got]
-    del got
+    y, sets = sample_sets(sample, features)
     if len(set(y.tolist())) < 2:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(n1 / n0)))
     sampled = max(1, (y == 1).sum()) / max(1, (y == 0).sum())
