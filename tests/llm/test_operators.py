@@ -87,6 +87,29 @@ def test_label_model_finds_accuracies_and_copies():
     assert sum(p in (5, 6, 7) for p in model.parent[5:]) >= 2
 
 
+def _hashes_by_text(texts):
+    return [set(f.tolist()) for f in toxicity.feature_sets(texts)]
+
+
+def test_the_sample_comes_as_few_telling_features(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    rows = [(k % 4 == 0 and 1 or 0, " ".join(rng.sample(vocabulary, 200)) + (" zzgrumpfl" if k % 4 == 0 else "")) for k in range(200)]
+    sample = spark.createDataFrame(rows, "y int, text string")
+    seeds = {h for v in toxicity.SEED_LISTS.values() for h in toxicity._hash_words(v.split()).tolist()}
+    y, sets = toxicity.sample_sets(sample, 40)
+    every = {h for s in sets for h in s.tolist()}
+    told = toxicity._hash_words(["zzgrumpfl"])[0]
+    assert len(every - seeds) <= 40 and told in every
+    assert all((told in s) == (c == 1) for c, s in zip(y, sets))
+    # with room for all, only features of one text are left out
+    y, sets = toxicity.sample_sets(sample, 1 << 20)
+    plain = _hashes_by_text([t for _, t in rows])
+    seen = collections.Counter(h for s in plain for h in s)
+    want = sorted((c, tuple(sorted(h for h in s if seen[h] > 1))) for (c, _), s in zip(rows, plain))
+    assert sorted((int(c), tuple(s.tolist())) for c, s in zip(y, sets)) == want
+
+
 # op2 ----------------------------------------------------------------------------------------
 
 def plain_fingerprint(t):
@@ -282,6 +305,19 @@ def test_mix_targets_and_takings(spark, docs):
     assert all(mixed[r.doc_id] * r.size == r.taken for r in got)
 
 
+@pytest.mark.parametrize("ids", ["null", "one"])
+def test_rows_without_an_own_id_are_dealt_by_their_text(spark, ids):
+    rows = [(None if ids == "null" else 7, f"{k} " + "word " * (k % 50), "a" if k % 3 else "b") for k in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert len(target) == 2 and len(got) == 900
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 51, (taken[s], t)
+
+
 # op7 ----------------------------------------------------------------------------------------
 
 def test_shards_are_even_and_keep_groups(spark, docs, texts):
