@@ -33,7 +33,20 @@ TEMPLATES = {
         "you may obtain a copy of the license at http www apache org licenses license 2 0",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
         "basis without warranties or conditions of any kind either express or implied see the license for the specific language "
-        "governing permissions and limitations under the license"],
+        "governing permissions and limitations under the license",
+        "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no "
+        "charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform "
+        "sublicense and distribute the work and such derivative works in source or object form",
+        "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no "
+        "charge royalty free irrevocable except as stated in this section patent license to make have made use offer to sell sell import "
+        "and otherwise transfer the work",
+        "you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications and "
+        "in source or object form provided that you meet the following conditions",
+        "unless required by applicable law or agreed to in writing licensor provides the work and each contributor provides its "
+        "contributions on an as is basis without warranties or conditions of any kind either express or implied including without "
+        "limitation any warranties or conditions of title non infringement merchantability or fitness for a particular purpose",
+        "in no event and under no legal theory whether in tort including negligence contract or otherwise unless required by applicable "
+        "law such as deliberate and grossly negligent acts or agreed to in writing shall any contributor be liable to you for damages"],
     "gpl": [
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
         "published by the free software foundation either version 3 of the license or at your option any later version",
@@ -47,10 +60,22 @@ TEMPLATES = {
         "conditions are met",
         "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
         "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
-        "in the documentation and or other materials provided with the distribution"],
+        "in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+        "from this software without specific prior written permission",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not "
+        "limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the "
+        "copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+        "arising in any way out of the use of this software even if advised of the possibility of such damage"],
     "isc": [
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
-        "that the above copyright notice and this permission notice appear in all copies"],
+        "that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential "
+        "damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other "
+        "tortious action arising out of or in connection with the use or performance of this software"],
     "mpl": [
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
         "with this file you can obtain one at"],
@@ -61,7 +86,9 @@ TEMPLATES = {
         "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
     "unlicense": [
         "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell "
-        "or distribute this software either in source code form or as a compiled binary for any purpose"],
+        "or distribute this software either in source code form or as a compiled binary for any purpose",
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in "
+        "the software to the public domain"],
 }
 
 SEED = 4       # words of the shortest match that may join a chain

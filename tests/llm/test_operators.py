@@ -204,6 +204,15 @@ def test_license_scan_against_plain_search(spark, texts):
         assert set(g.base_labels.split(",")) - {""} <= set(g.labels.split(",")) and 0 <= g.score <= 1
 
 
+def test_every_passage_alone_gives_its_license_and_no_other():
+    a = licenses.Automaton()
+    for label, passages in licenses.TEMPLATES.items():
+        for p in passages:
+            text = "Notes. " + p.upper() + ". The end."
+            assert licenses.scan_text(text, a)["labels"] == label, (label, p[:60])
+    assert licenses.scan_text("in no event shall we be liable for the use of data in this work without any warranty", a)["labels"] == ""
+
+
 def test_matching_statistics_and_spans():
     a = licenses.Automaton()
     body = licenses.TEMPLATES["mit"][0].split()
