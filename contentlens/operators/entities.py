@@ -59,7 +59,15 @@ def extract_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                                           F.array_join(F.slice(words, 2, F.size(words)), " ")))
     g1 = gaz.select(F.col("phrase").alias("entity"), F.col("type").alias("t1"))
     g2 = gaz.select(F.col("phrase").alias("tail"), F.col("type").alias("t2"))
-    typed = ents.join(g1, "entity", "left").join(g2, "tail", "left")
+    if gazetteer is None:
+        typed = ents.join(g1, "entity", "left").join(g2, "tail", "left")
+    else:
+        # Types are found once a spelling (one row a map task, however often it stands), and only
+        # spellings with a tail are joined by it: a null tail is no key.
+        kinds = ents.select("entity", "tail").distinct().join(g1, "entity", "left")
+        tails = kinds.filter("tail IS NOT NULL").select("entity", "tail").join(g2, "tail").select("entity", "t2")
+        kinds = kinds.join(tails, "entity", "left").filter("t1 IS NOT NULL OR t2 IS NOT NULL")
+        typed = ents.join(kinds.select("entity", "t1", "t2"), "entity", "left")
     use_tail = F.col("t1").isNull() & F.col("t2").isNotNull()
     return typed.select(id_col, "idx", F.when(use_tail, F.col("tail")).otherwise(F.col("entity")).alias("entity"),
                         F.coalesce("t1", "t2", F.lit(UNKNOWN)).alias("type"))
