@@ -5,7 +5,8 @@ between the centres less both radii.  Cell pairs are ordered by that bound, each
 multiplied in waves that double in size; the best cosine of a wave drops every later pair, and every row of it, whose
 bound lies below.  Whatever the bounds prune, the value is that over all pairs.
 
-A row is sent only to the cells that its own angles leave open; cells above ``BLOCK`` rows are multiplied in blocks.
+Rows are packed once in the order of their cells (``blocks.py``), and every two blocks meet in a Cartesian join of the held table; a row
+is multiplied only with rows of the cells that its own angles leave open.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import PACKED, load, meet, met_blocks, pack, with_more
 from .cells import BLOCK, SLACK, CellIndex, _angles, build_cells
 from .holding import hold
-from .similarity import _is_sparse, _payload_cols, _unit_rows
 
 MAX_CELLS = 1024      # bound of the cells, so of the table of cell pairs (its square) that driver and tasks hold
 FIRST_SHARE = 1 / 16  # share of all products that the first wave may take
@@ -54,56 +55,42 @@ def _cell_pairs(index: CellIndex, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return a[order], b[order], least[a, b][order], cost[order]
 
 
-def _multiply(index: CellIndex, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, best: float, block: int) -> tuple[float, int]:
-    """Greatest cosine over the cell pairs (a, b), at least ``best``, and the number of products."""
-    rows, sparse, d = index.rows, _is_sparse(index.rows), index.dim
+def _multiply(packed: DataFrame, index: CellIndex, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, best: float) -> tuple[float, int]:
+    """Greatest cosine of the packed rows over the cell pairs (a, b), at least ``best``, and the number of products."""
     centres, near, far = index.centres, index.near, index.far
     asked = np.zeros((len(sizes), len(sizes)), bool)
     asked[a, b] = asked[b, a] = True
-    payload = _payload_cols(sparse)
 
     def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            open_cells = []
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo:lo + 512]
-                angle = _angles(_unit_rows(part, sparse, d), centres)
-                home = part["cell"].to_numpy()
+            for number, packed in zip(pdf["blk"], pdf["pack"]):
+                own = load(packed)
+                home = own.more["cell"]
+                angle = _angles(own.unit, centres)
                 gap = np.maximum(0, np.maximum(angle - far, near - angle))
                 hope = asked[home] & (np.cos(np.minimum(gap, np.pi)) + SLACK > best)
-                hope[np.arange(len(part)), home] = asked[home, home]
-                open_cells += [np.flatnonzero(h) for h in hope]
-            yield pdf.assign(other=open_cells)
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in payload)
-    sent = (rows.filter("cell >= 0").select("id", *payload, "cell")
-            .mapInPandas(route, f"id long, {kinds}, cell long, other array<long>").withColumn("other", F.explode("other")))
-    # one row a cell, and cells are bounded
-    blocks = rows.sparkSession.createDataFrame(
-        [(int(c), int(math.ceil(s / block))) for c, s in enumerate(sizes) if s], "cell long, blocks int")
-    sent = (sent.join(F.broadcast(blocks.withColumnRenamed("blocks", "mine")), "cell")
-            .join(F.broadcast(blocks.select(F.col("cell").alias("other"), F.col("blocks").alias("theirs"))), "other"))
-    own = F.pmod(F.xxhash64("id"), F.col("mine")).cast("int")
-    sent = sent.withColumn("own", own).withColumn("far", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
-    first = (F.col("cell") < F.col("other")) | ((F.col("cell") == F.col("other")) & (F.col("own") < F.col("far")))
-    alone = (F.col("cell") == F.col("other")) & (F.col("own") == F.col("far"))
-    sent = sent.select(
-        "id", *payload, F.least("cell", "other").alias("ka"), F.greatest("cell", "other").alias("kb"),
-        F.when(first | alone, F.col("own")).otherwise(F.col("far")).alias("ba"),
-        F.when(first | alone, F.col("far")).otherwise(F.col("own")).alias("bb"),
-        F.when(alone, 2).when(first, 0).otherwise(1).alias("side"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["side"].to_numpy()
-        u = _unit_rows(pdf, sparse, d)
-        if (side == 2).all():
-            found = (u @ u.T)[np.triu_indices(len(u), 1)]
-        else:
-            found = (u[side == 0] @ u[side == 1].T).ravel()
-        return pd.DataFrame({"best": [float(found.max()) if found.size else None], "products": [found.size]})
-
-    got = sent.groupBy("ka", "kb", "ba", "bb").applyInPandas(run, "best double, products long").agg(
+                hope[np.arange(len(home)), home] = asked[home, home]
+                yield pd.DataFrame({"blk": [number], "pack": [with_more(packed, open=np.packbits(hope, axis=1))]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top, products = None, 0
+        for x, left, y, right in met_blocks(batches):
+            opened = [np.unpackbits(side.more["open"], axis=1, count=len(sizes)).astype(bool) for side in (left, right)]
+            taken = opened[0][:, right.more["cell"]] & opened[1][:, left.more["cell"]].T
+            if x == y:
+                taken = np.triu(taken, 1)
+            i, j = np.flatnonzero(taken.any(1)), np.flatnonzero(taken.any(0))
+            if len(i):
+                taken = taken[np.ix_(i, j)]
+                s = (left.unit[i] @ right.unit[j].T)[taken]
+                top, products = max(float(s.max()), -math.inf if top is None else top), products + s.size
+        yield pd.DataFrame({"best": [top], "products": [products]}).astype({"best": "float64", "products": "int64"})
+
+    opened = hold(packed.mapInPandas(route, PACKED))
+    opened.count()  # its measured size decides how it is joined
+    got = meet(opened, opened, once=True).mapInPandas(run, "best double, products long").agg(
         F.max("best").alias("best"), F.coalesce(F.sum("products"), F.lit(0)).alias("products")).first()
+    opened.unpersist()
     return max(best, got["best"] if got["best"] is not None else best), int(got["products"])
 
 
@@ -122,6 +109,7 @@ def max_pair(v: DataFrame, cells: int | None = None, block: int = BLOCK, first_s
     for r in index.rows.filter("cell >= 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r["cell"]] = r["n"]  # one row a centre
     best = 0.0 if sizes.sum() < n else -math.inf
+    packed = pack(index.rows.filter("cell >= 0"), index.dim, int(sizes.sum()), block, by="cell", more=("cell",))
     a, b, least, cost = _cell_pairs(index, sizes)
     hope = np.cos(np.clip(least, 0, np.pi)) + SLACK
     budget, products, waves = max(1.0, pairs * first_share), 0, 0
@@ -131,7 +119,7 @@ def max_pair(v: DataFrame, cells: int | None = None, block: int = BLOCK, first_s
         if not len(a) or best >= ONE:
             break
         take = max(1, int(np.searchsorted(np.cumsum(cost), budget, "right")))
-        best, done = _multiply(index, sizes, a[:take], b[:take], best, block)
+        best, done = _multiply(packed, index, sizes, a[:take], b[:take], best)
         a, b, hope, cost = a[take:], b[take:], hope[take:], cost[take:]
         products, waves, budget = products + done, waves + 1, budget * 2
     return MaxPair(best, products, pairs, int((sizes > 0).sum()), waves)

@@ -63,3 +63,16 @@ def test_single_precision_loses_no_pair():
     for t in np.sort(s[np.arange(150), np.arange(150) + 150])[::10]:  # thresholds that some pair meets exactly
         i, j, _ = blocks.close_pairs(a, a, t - 1e-13)
         assert set(zip(*np.nonzero(s >= t))) <= set(zip(i, j))
+
+
+def test_cells_and_maximum_copy_no_vector_to_its_partners(spark):
+    from contentlens.operators import cells, max_pair
+    import inspect
+    v, s = _vectors(spark)
+    got, _ = cells.search_cells(v.filter("id % 5 = 0"), cells.build_cells(v, 9), 3, 0.7, exclude_self=True, block=40)
+    assert _shuffled_generates(got) == 0  # a query was copied to every cell it visits before
+    want = SIM.similar_pages(v.filter("id % 5 = 0"), v, 3, 0.7, exclude_self=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    np.fill_diagonal(s, -1)
+    assert abs(max_pair.max_pair(v, cells=9, block=40).similarity - s.max()) < 1e-12
+    assert "explode" not in inspect.getsource(max_pair)
