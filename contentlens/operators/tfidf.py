@@ -12,12 +12,18 @@ Plan shape (no densified matrix, nothing collected):
   5. weights, L2 norm and per-document ranks use one window partitioned by
      document.
 
+Where every row has an id of its own and the vocabulary is cut, steps 2 and 3 are one
+aggregation by term (``_counted``): a text's terms are sorted within its row, so their first places
+give the df, and (doc, term) rows exist for the kept vocabulary only.
+
 Smooth idf: ``ln((1 + n) / (1 + df)) + 1`` (MLlib's ``IDF`` omits the
 ``+1``, so it is not used).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +44,36 @@ def term_frequencies(docs: DataFrame, id_col: str, terms: Column, keep: bool = T
     return hold(tf) if keep else tf
 
 
-def vocabulary(tf: DataFrame, n_docs: DataFrame, max_features: int | None,
+def _counted(docs: DataFrame, id_col: str, terms: Column, bounded: bool) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(term, cnt, df) of all terms, and a function from a vocabulary to the (doc, term, tf) rows of its terms."""
+    from .embed import _own_ids
+    if not (bounded and _own_ids(docs, id_col)):
+        tf = term_frequencies(docs, id_col, terms)
+        return term_stats(tf), lambda vocab: tf
+    row = docs.select(F.col(id_col).alias("doc"), terms.alias("terms"))
+    first = F.transform("ts", lambda t, i: F.struct(t.alias("term"), F.when(F.get("ts", i - 1) == t, 0).otherwise(1).alias("new")))
+    stats = (row.select(F.array_sort("terms").alias("ts")).select(F.inline(first))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("cnt"), F.sum("new").alias("df")))
+
+    def of(vocab: DataFrame) -> DataFrame:
+        kept = row.select("doc", F.explode("terms").alias("term")).join(F.broadcast(vocab.select("term")), "term")
+        return kept.groupBy("doc", "term").agg(F.count(F.lit(1)).cast("long").alias("tf"))
+
+    return stats, of
+
+
+def term_stats(tf: DataFrame) -> DataFrame:
+    """(term, cnt, df) of (doc, term, tf) rows."""
+    return tf.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
+
+
+def vocabulary(stats: DataFrame, n_docs: DataFrame, max_features: int | None,
                min_df: int | float = 1, max_df: int | float = 1.0) -> DataFrame:
     """Terms kept by the vectorizer: df filters first, then the ``max_features``
-    most frequent terms over the corpus (ties by term).  Adds ``df`` and ``idf``.
+    most frequent terms over the corpus (ties by term).  Adds ``idf`` to ``stats`` (term, cnt, df).
 
     ``n_docs`` is a one-row DataFrame with column ``n``.
     """
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("cnt"), F.count(F.lit(1)).alias("df"))
     stats = attach_scalars(stats, n_docs)
     lo = F.lit(float(min_df)) * F.col("n") if isinstance(min_df, float) else F.lit(min_df)
     hi = F.lit(float(max_df)) * F.col("n") if isinstance(max_df, float) else F.lit(max_df)
@@ -90,10 +118,10 @@ def keyword_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``stopwords``: None = the English list; ``[]`` = keep every word.
     """
     docs, terms, n = _keyword_docs(docs, id_col, text_col, stopwords)
-    tf = term_frequencies(docs, id_col, terms)
-    vocab = vocabulary(tf, n, max_features)
+    stats, tf_of = _counted(docs, id_col, terms, max_features is not None)
+    vocab = hold(vocabulary(stats, n, max_features))
     # broadcast only a vocabulary cut to max_features rows
-    return tfidf_weights(tf, vocab, bounded_vocab=max_features is not None)
+    return tfidf_weights(tf_of(vocab), vocab, bounded_vocab=max_features is not None)
 
 
 def top_keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -127,9 +155,9 @@ def corpus_keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sample = docs.filter(F.length(X.text_or_empty(text_col)) > min_chars)
     toks = sample.select(id_col, X.drop_stop_terms(X.tokenize_terms(text_col)).alias("_t"))
     n = sample.agg(F.count(F.lit(1)).alias("n"))
-    tf = term_frequencies(toks, id_col, X.ngrams_1_2("_t"))
-    vocab = vocabulary(tf, n, max_features, min_df, max_df)
-    weights = tfidf_weights(tf, vocab, bounded_vocab=max_features is not None)
+    stats, tf_of = _counted(toks, id_col, X.ngrams_1_2("_t"), max_features is not None)
+    vocab = hold(vocabulary(stats, n, max_features, min_df, max_df))
+    weights = tfidf_weights(tf_of(vocab), vocab, bounded_vocab=max_features is not None)
     score = (weights.groupBy("term").agg(F.sum("weight").alias("s"))
              .transform(lambda d: attach_scalars(d, n))
              .select("term", F.round(F.col("s") / F.col("n"), 6).alias("score")))
@@ -143,11 +171,11 @@ def count_vectorize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (term, cnt, df, idf) — at most ``max_features`` rows."""
     sample = docs.filter(F.length(X.text_or_empty(text_col)) > min_chars)
     n = sample.agg(F.count(F.lit(1)).alias("n"))
-    tf = term_frequencies(sample, id_col, X.drop_stop_terms(X.tokenize_terms(text_col)))
-    vocab = vocabulary(tf, n, max_features, min_df, max_df)
+    stats, tf_of = _counted(sample, id_col, X.drop_stop_terms(X.tokenize_terms(text_col)), max_features is not None)
+    vocab = hold(vocabulary(stats, n, max_features, min_df, max_df))
     terms = vocab.select("term")
     terms = F.broadcast(terms) if max_features is not None else terms
-    counts = tf.join(terms, "term").select("doc", "term", F.col("tf").alias("count"))
+    counts = tf_of(vocab).join(terms, "term").select("doc", "term", F.col("tf").alias("count"))
     return counts, vocab
 
 
