@@ -11,11 +11,15 @@ Everything stays in the JVM; the gazetteer is the only resource.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.resources import ENGLISH_STOPWORDS, SEED_GAZETTEER
+from .holding import hold
 from .stats import top_k
 
 # --- FIXED VALUES: candidate pattern and minimum text length -----------------
@@ -87,32 +91,56 @@ def gazetteer_matches(docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_
     phrases = gazetteer.select(F.array_join(words_of("phrase"), " ").alias("phrase"), "type").filter("phrase <> ''")
     phrases = phrases.groupBy("phrase").agg(F.min("type").alias("type"))
     words = docs.select(F.col(id_col).alias("id"), words_of(text_col).alias("words"))
-    at = words.select("id", "words", F.posexplode("words").alias("start", "first"))
-    grams = at.select("id", "start", F.posexplode(F.array(*(
-        F.when(F.size("words") >= F.col("start") + n, F.array_join(F.slice("words", F.col("start") + 1, F.lit(n)), " "))
-        for n in range(1, max_words + 1)))).alias("more", "phrase"))
+    # the word at every position with those after it: a row a position, without its text
+    n = F.size("words")
+    row = [F.slice("words", F.lit(k + 1), F.greatest(n - k, F.lit(0))).alias(f"w{k}") for k in range(max_words)]
+    at = words.select("id", F.posexplode(F.arrays_zip(*row)).alias("start", "w"))
+    gram = [F.col("w.w0")]
+    for k in range(1, max_words):
+        gram.append(F.concat(gram[-1], F.lit(" "), F.col(f"w.w{k}")))  # null where the text ends
+    grams = at.select("id", "start", F.posexplode(F.array(*gram)).alias("more", "phrase"))
     found = grams.join(phrases, "phrase").select("id", F.struct(
         "start", (-F.col("more") - 1).alias("minus_n"), "phrase", "type").alias("m"))
-    none = F.struct(F.lit(0).alias("end"), F.filter(F.array(F.col("all")[0]), lambda m: F.lit(False)).alias("taken"))
     # one text's matches in page order; a text is one row, so the list is bounded by its words
-    taken = found.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("all")).select("id", F.aggregate(
-        "all", none, lambda acc, m: F.when(m["start"] >= acc["end"], F.struct(
-            (m["start"] - m["minus_n"]).alias("end"), F.concat(acc["taken"], F.array(m)).alias("taken"))).otherwise(acc))["taken"].alias("taken"))
+    ordered = found.groupBy("id").agg(F.sort_array(F.collect_list("m")).alias("all")).select(
+        "id", F.col("all.start").alias("start"), F.col("all.minus_n").alias("minus_n"), "all")
+    kind = ordered.schema["id"].dataType.simpleString()
+    item = ordered.schema["all"].dataType.simpleString()
+    taken = ordered.mapInArrow(_leftmost, f"id {kind}, taken {item}")
     return taken.select(F.col("id").alias(id_col), F.inline("taken")).select(
         id_col, "start", (-F.col("minus_n")).alias("n_words"), "phrase", "type")
 
 
+def _leftmost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row's matches, in order of start and length, those that begin where none taken before reaches."""
+    for batch in batches:
+        matches = batch.column(3)
+        starts, minus = batch.column(1).flatten().to_pylist(), batch.column(2).flatten().to_pylist()
+        kept, ends, at = [], [0], 0
+        for size in matches.value_lengths().to_pylist():
+            end = 0
+            for k in range(at, at + size):
+                if starts[k] >= end:
+                    end = starts[k] - minus[k]
+                    kept.append(k)
+            at += size
+            ends.append(len(kept))
+        taken = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), matches.flatten().take(pa.array(kept, pa.int64())))
+        yield pa.RecordBatch.from_arrays([batch.column(0), taken], ["id", "taken"])
+
+
 def entities_with_gazetteer(docs: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             max_words: int = 3) -> DataFrame:
     """(id, entity, type, n): typed phrases of each text with their places counted, and the capitalised runs that hold none of them."""
-    typed = gazetteer_matches(docs, gazetteer, id_col, text_col, max_words)
-    known = typed.groupBy(id_col).agg(F.collect_set("phrase").alias("known"))
-    runs = docs.select(F.col(id_col), F.explode(entity_candidates(text_col)).alias("entity")).join(known, id_col, "left")
+    typed = hold(gazetteer_matches(docs, gazetteer, id_col, text_col, max_words))  # read by both branches
+    typed = typed.groupBy(id_col, F.col("phrase").alias("entity"), "type").agg(F.count(F.lit(1)).alias("n"))
+    known = typed.groupBy(id_col).agg(F.collect_set(F.concat(F.lit(" "), "entity", F.lit(" "))).alias("known"))
+    runs = docs.select(F.col(id_col), F.explode(entity_candidates(text_col)).alias("entity"))
+    runs = runs.groupBy(id_col, "entity").agg(F.count(F.lit(1)).alias("n")).join(known, id_col, "left")
     plain = F.concat(F.lit(" "), F.lower("entity"), F.lit(" "))
-    holds = F.exists("known", lambda p: F.contains(plain, F.concat(F.lit(" "), p, F.lit(" "))))
-    rest = runs.filter(F.col("known").isNull() | ~holds).select(id_col, "entity", F.lit(UNKNOWN).alias("type"))
-    both = typed.select(id_col, F.col("phrase").alias("entity"), "type").unionByName(rest)
-    return both.groupBy(id_col, "entity", "type").agg(F.count(F.lit(1)).alias("n"))
+    holds = F.exists("known", lambda p: F.contains(plain, p))
+    rest = runs.filter(F.col("known").isNull() | ~holds).select(id_col, "entity", F.lit(UNKNOWN).alias("type"), "n")
+    return typed.unionByName(rest).groupBy(id_col, "entity", "type").agg(F.sum("n").alias("n"))
 
 
 def top_entity_types(entities: DataFrame, n: int = 10) -> DataFrame:
