@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .holding import hold
 from .stats import attach_scalars
 
 # --- FIXED VALUES: patterns shared with the SQL twin (Java and RE2 alike) ------
@@ -43,8 +44,9 @@ def _words(docs: DataFrame, text_col: str, *keep: str) -> DataFrame:
     n = F.size("all")
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice("all", 1, F.greatest(n - 1, F.lit(0))))
     after = F.slice("all", 2, F.greatest(n - 1, F.lit(0)))
-    return (words.filter(n > 0).select(*keep, F.inline(F.arrays_zip(before.alias("before"), F.col("all").alias("word"),
-                                                                     after.alias("after")))))
+    # a text without words leaves one row without a word; a filter by their number would run the pattern twice
+    return words.select(*keep, F.inline(F.arrays_zip(before.alias("before"), F.col("all").alias("word"),
+                                                     after.alias("after")))).filter(F.col("word").isNotNull())
 
 
 def sentence_types(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -56,7 +58,8 @@ def sentence_types(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first, so the patterns run once a spelling, and partial counts before each shuffle make a hot word a row a task.  Null and empty texts have no words.
     """
     within = F.col("before").isNotNull() & ~F.col("before").rlike(BREAK_BEFORE)
-    spelt = _words(docs, text_col).groupBy("word", within.alias("within")).agg(F.count(F.lit(1)).alias("n"))
+    # held: the filter by type would else be pushed below this count and run its patterns at every word of every text
+    spelt = hold(_words(docs, text_col).groupBy("word", within.alias("within")).agg(F.count(F.lit(1)).alias("n")))
     word = spelt.select("within", "n", _core(F.col("word")).alias("core"))
     word = word.withColumn("type", _type(F.col("core"))).filter(F.col("type").isNotNull())
     period = F.col("core").rlike(ONE_PERIOD)
