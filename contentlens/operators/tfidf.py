@@ -52,7 +52,7 @@ def _counted(docs: DataFrame, id_col: str, terms: Column, bounded: bool) -> tupl
         return term_stats(tf), lambda vocab: tf
     row = docs.select(F.col(id_col).alias("doc"), terms.alias("terms"))
     first = F.transform("ts", lambda t, i: F.struct(t.alias("term"), F.when(F.get("ts", i - 1) == t, 0).otherwise(1).alias("new")))
-    stats = (row.select(F.array_sort("terms").alias("ts")).select(F.inline(first))
+    stats = (row.select(F.sort_array("terms").alias("ts")).select(F.inline(first))
              .groupBy("term").agg(F.count(F.lit(1)).alias("cnt"), F.sum("new").alias("df")))
 
     def of(vocab: DataFrame) -> DataFrame:
